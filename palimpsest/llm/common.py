@@ -92,7 +92,7 @@ def components(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None =
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Rows (node, root): the smallest node reachable from each node of edges (a, b).
+    """Rows (node, root): the smallest node reachable over edges (a, b), for all but the roots.
 
     Alternating large-star and small-star steps: each is a grouped minimum (with partial
     aggregation) and one equi-join, so a hub costs no more than its edges. State is
