@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
@@ -64,6 +70,7 @@ from j group by doc_id
 """
 
 QUERIES = {
+    "op1_ppm": op1_ppm,
     "op2_repeats": op2_repeats,
     "op3_simhash": op3_simhash,
     "op8_exact_dedup": op8_exact_dedup,
