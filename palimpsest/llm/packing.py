@@ -16,6 +16,7 @@ Extra columns are ignored. An empty table gives no pieces. Long texts are cut, n
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 
@@ -28,8 +29,12 @@ from .common import checkpoint, with_text
 LIMIT = 4096
 #: The id after each document.
 END = 1
-#: Entries of a worker's cache of words; it starts anew when full.
-CACHE = 250_000
+#: Entries of either of a worker's two caches of words; a full one starts anew.
+CACHE = 400_000
+
+
+#: Letters that are one lower-case letter each in lower case, and letters in any normal form.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
 
 class WordEncoder:
@@ -53,12 +58,13 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.words: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}  # of plain words without their mark, in lower case
         self.marks: dict[str, bytes] = {}
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of lower-case words of letters."""
         texts = [w if w.isascii() else "".join(map(self.alphabet.__getitem__, w.encode())) for w in words]
-        got = self.bare.encode_batch_fast([" ".join(texts[i : i + 100]) for i in range(0, len(texts), 100)], add_special_tokens=False)
+        got = self.bare.encode_batch_fast([" ".join(texts[i : i + 32]) for i in range(0, len(texts), 32)], add_special_tokens=False)
         ids = np.array([i for e in got for i in e.ids], "<u4")
         cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         if len(cut) != len(words) + 1:
@@ -73,13 +79,18 @@ class WordEncoder:
         plain: dict[str, list[tuple[str, str]]] = {}
         for w in words:
             core, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-            low = core.lower()
-            if core.isalpha() and low.isalpha() and max(low) < "ɐ" and max(core) < "ɐ":
-                plain.setdefault(low, []).append((w, mark))
+            if PLAIN(core):
+                plain.setdefault(core.lower(), []).append((w, mark))
             else:
                 self.words[w] = self._direct(w)
-        for low, ids in zip(plain, self._plain(list(plain)) if plain else ()):
-            for w, mark in plain[low]:
+        if len(self.cores) > CACHE:
+            self.cores = {}
+        new = [low for low in plain if low not in self.cores]
+        if new:
+            self.cores.update(zip(new, self._plain(new)))
+        for low, whole in plain.items():
+            ids = self.cores[low]
+            for w, mark in whole:
                 if mark and mark not in self.marks:
                     self.marks[mark] = self._direct(mark)
                 self.words[w] = ids + self.marks[mark] if mark else ids
@@ -116,7 +127,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
         code = encoder(path)
         while at < len(ids):
             to, total = at, 0
-            while to < len(ids) and total < 1 << 21:
+            while to < len(ids) and total < 1 << 22:
                 total += len(texts[to])
                 to += 1
             for i, x in zip(ids[at:to], code.encode(texts[at:to])):
