@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import chunked, ids_of, mix, n_chunks, n_shards, text_bytes, with_text
 
@@ -345,3 +345,37 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     answers = sent.groupBy("shard").applyInArrow(_sort, "chunk int, hashes binary, owners binary, early binary, valid binary")
     return by_chunk(dealt).cogroup(by_chunk(answers)).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated windows cut from their texts, n_chars anew (for the pipeline).
+    A character goes if all of its bytes do, so texts stay valid UTF-8."""
+    cut = remove_repeats(docs).filter("n_removed > 0").groupBy("doc_id").agg(F.collect_list(F.struct("n_bytes", "spans")).alias("cuts"))
+    cut = cut.select(F.col("doc_id").alias("cut_id"), "cuts")
+
+    def f(batches):
+        for b in batches:
+            out = []
+            for text, cuts in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist()):
+                data = (text or "").encode()
+                spans = next((c["spans"] for c in cuts or () if c["n_bytes"] == len(data)), None)
+                out.append(text if spans is None else _without(data, [(x["start"], x["end"]) for x in spans]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out, pa.string()) if n == "text" else pa.array([None if t is None else len(t) for t in out], pa.int64()) if n == "n_chars" else b.column(n) for n in names], names=names
+            )
+
+    names = docs.columns
+    schema = T.StructType([T.StructField(f.name, T.LongType()) if f.name == "n_chars" else f for f in docs.schema.fields])
+    return docs.join(cut, docs.doc_id.eqNullSafe(cut.cut_id), "left").drop("cut_id").mapInArrow(f, schema)
+
+
+def _without(data: bytes, spans: list[tuple[int, int]]) -> str:
+    kept, at = [], 0
+    for a, b in spans:
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b < len(data) and b > a and data[b] & 0xC0 == 0x80:
+            b -= 1
+        kept.append(data[at:a])
+        at = max(a, b)
+    return b"".join([*kept, data[at:]]).decode()

@@ -13,6 +13,10 @@ side of the ball is enumerated once.
 * Pairs are verified in numpy and never leave their task: a task returns a spanning forest
   of the links that it found, at most one row a fingerprint.
 
+Where links reach further (``keep_one`` looks for a shingle similarity of 0.8, which is many
+bits), 64 bits can't tell copies from chance: a second fingerprint under another seed
+travels along, and both together must be near.
+
 Nulls and empty texts have fingerprint zero, linked like any other. Repeated rows are
 linked. A null doc_id counts as larger than all others and comes back null. Extra columns
 are ignored. An empty table gives an empty result.
@@ -21,6 +25,7 @@ are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +38,12 @@ RADIUS = 4
 SEED = 42
 #: Members of a table cell that one task compares with one another.
 CELL = 4096
-#: From so many fingerprints on, two segments of 32 bits are looked up, else three: either finds all links.
-TWO_FROM = 1 << 26
+#: For the pipeline: bits that may differ in the fingerprint, and in it and the second one together. Copies with a similarity of 0.8 or more of their five-word shingles lie about there.
+FAR, FAR_BOTH = 10, 24
 _NONE = np.iinfo(np.int64).max
 
 
-def fingerprint(data: bytes, width: int = 4) -> int:
+def fingerprint(data: bytes, width: int = 4, seed: int = SEED) -> int:
     """64 bits: set where more than half of the shingles' XXH64 have it set."""
     words = data.lower().split()
     if not words:
@@ -50,22 +55,35 @@ def fingerprint(data: bytes, width: int = 4) -> int:
     end = end.tolist()
     k = min(width, len(words))
     f = xxhash.xxh64_intdigest
-    h = np.array([f(joined[a:b], SEED) for a, b in zip(start, end[k - 1 :])], "<u8")
+    h = np.array([f(joined[a:b], seed) for a, b in zip(start, end[k - 1 :])], "<u8")
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = bits.sum(0, dtype=np.int64) * 2 > len(h)
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a long."""
+def fingerprints(docs: DataFrame, width: int = 4, second: bool = False) -> DataFrame:
+    """(doc_id, fp, more) of every row: 64 bits as a long, and as many again (or 0)."""
 
     def f(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            fp = np.array([fingerprint(bytes(x), width) for x in text_bytes(t)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            texts = [bytes(x) for x in text_bytes(pa.Table.from_batches([b]))]
+            fp = np.array([fingerprint(x, width) for x in texts], np.uint64)
+            more = np.array([fingerprint(x, width, SEED + 1) if second else 0 for x in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(more.view(np.int64))], names=["doc_id", "fp", "more"])
+
+    return with_text(docs).mapInArrow(f, "doc_id long, fp long, more long")
+
 
-    return with_text(docs).mapInArrow(f, "doc_id long, fp long")
+def choose_segments(n: int, radius: int) -> int:
+    """How many segments: the fewest lookups and comparisons for ``n`` fingerprints. Any
+    choice finds all links; each keeps balls of one bit or more."""
+
+    def cost(count: int) -> float:
+        width, reach = 64 / count, radius // count
+        rows = count * sum(comb(round(width), d) for d in range(reach + 1)) / 2
+        return rows * (1 + 0.02 * n / 2**width)
+
+    return min(range(2, radius + 1), key=cost)
 
 
 def segments(count: int) -> list[tuple[int, int]]:
@@ -97,14 +115,14 @@ def _entries(count: int, radius: int):
                     member.append(np.zeros(len(low), bool))
             rows = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cells).view(np.int64)), b.column("fp").take(pa.array(rows)), b.column("node").take(pa.array(rows)), pa.array(np.concatenate(member))],
-                names=["cell", "fp", "node", "member"],
+                [pa.array(np.concatenate(cells).view(np.int64)), *(b.column(c).take(pa.array(rows)) for c in ("fp", "more", "node")), pa.array(np.concatenate(member))],
+                names=["cell", "fp", "more", "node", "member"],
             )
 
     return f
 
 
-def _verify(radius: int):
+def _verify(radius: int, both: int):
     """A shard's cells -> a spanning forest of the links between their fingerprints."""
 
     def f(table: pa.Table) -> pa.Table:
@@ -113,6 +131,7 @@ def _verify(radius: int):
         order = np.lexsort((~member, part))
         part, member = part[order], member[order]
         fp = table["fp"].to_numpy()[order].view(np.uint64)
+        more = table["more"].to_numpy()[order].view(np.uint64)
         nodes, own = np.unique(table["node"].to_numpy()[order], return_inverse=True)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         size = np.diff(np.append(first, len(part)))
@@ -131,8 +150,10 @@ def _verify(radius: int):
             c = count[at:to]
             left = np.repeat(np.arange(at, to), c)
             right = np.repeat(base[at:to] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(len(left))
-            near = np.bitwise_count(fp[left] ^ fp[right]) <= radius
-            if near.any():
+            apart = np.bitwise_count(fp[left] ^ fp[right])
+            near = np.flatnonzero(apart <= radius)
+            near = near[apart[near] + np.bitwise_count(more[left[near]] ^ more[right[near]]) <= both]
+            if len(near):
                 parent = components(len(nodes), own[left[near]], own[right[near]], parent)
             at = to
         linked = np.flatnonzero(parent != np.arange(len(nodes)))
@@ -141,39 +162,42 @@ def _verify(radius: int):
     return f
 
 
-def links(points: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """Edges (a, b) between nodes whose fingerprints differ by ``radius`` bits or fewer:
-    enough edges to connect all that are linked. points: distinct (fp, node)."""
+def links(points: DataFrame, radius: int = RADIUS, both: int = 128, cell: int = CELL) -> DataFrame:
+    """Edges (a, b) between nodes whose fingerprints differ by ``radius`` bits or fewer, and
+    by ``both`` with the second ones: enough edges to connect all that are linked.
+    points: distinct (fp, more, node)."""
     n = points.count()
-    count = 2 if n >= TWO_FROM else 3
-    entries = points.mapInArrow(_entries(count, radius), "cell long, fp long, node long, member boolean")
+    count = choose_segments(n, radius)
+    entries = points.mapInArrow(_entries(count, radius), "cell long, fp long, more long, node long, member boolean")
     sizes = entries.groupBy("cell").agg(F.count_if("member").alias("members"), F.count("*").alias("rows")).filter("members > 0 and rows > 1")
     sizes = sizes.select("cell", F.ceil(F.col("members") / cell).cast("int").alias("blocks"))
     met = entries.join(sizes, "cell")
     # One block: one cell. More: every pair of blocks is a cell.
-    block = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("fp", "more", F.lit("block")), F.col("blocks")).cast("int")
     met = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("fp", "node", "member", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
-    shards = int(max(32, n * (24 if count == 3 else 600) // 200_000))
-    return met.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_verify(radius), "a long, b long")
+    met = met.select("fp", "more", "node", "member", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
+    shards = int(max(32, n * 40 // 200_000))
+    return met.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_verify(radius, both), "a long, b long")
 
 
 def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4) -> DataFrame:
-    """Per row: doc_id, fingerprint, component_id (smallest doc_id reachable over links)."""
-    rows = checkpoint(fingerprints(docs, width))
-    points = rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("node"))
-    roots = connected_components(links(points, radius))
-    named = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    out = rows.join(named, "fp")
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4, both: int | None = None) -> DataFrame:
+    """Per row: doc_id, fingerprint, component_id (smallest doc_id reachable over links).
+
+    ``both``: the bits that may differ in the fingerprint and a second one together."""
+    rows = checkpoint(fingerprints(docs, width, both is not None))
+    points = rows.groupBy("fp", "more").agg(F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("node"))
+    roots = connected_components(links(points, radius, 128 if both is None else both))
+    named = points.join(roots, "node", "left").select("fp", "more", F.coalesce("root", "node").alias("component_id"))
+    out = rows.join(named, ["fp", "more"])
     return out.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), F.when(F.col("component_id") < _NONE, F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, width: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = FAR, width: int = 5, both: int | None = FAR_BOTH) -> DataFrame:
     """The rows of ``docs`` that stay: the smallest doc_id of each class (for the pipeline)."""
-    out = near_duplicates(docs, radius, width)
+    out = near_duplicates(docs, radius, width, both)
     stay = out.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
     return docs.join(stay, docs.doc_id.eqNullSafe(stay.stay_id), "left_semi").dropDuplicates(["doc_id"])

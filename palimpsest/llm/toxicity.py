@@ -6,8 +6,8 @@ recurrent unit in either direction; attention pools the states into one vector a
 logistic unit scores it. A document's score is that of its worst window, so a short attack
 in a long text counts, and every word is in two windows (but at the ends).
 
-Training sees a bounded sample of labelled rows: at most ``SAMPLE`` of either class, chosen
-by a hash of the id. Labels are of documents, not of windows, so after a first look at
+Training sees a bounded sample of labelled rows: at most ``SAMPLE`` toxic ones and
+``CLEAN`` times as many clean ones, chosen by a hash of the id. Labels are of documents, not of windows, so after a first look at
 random windows, a toxic document teaches by its highest windows and a clean one by its
 highest and a random one. The sample's size, the tables and so the broadcast model are of
 fixed size. Scoring covers all rows and whole texts, and a word's projections are computed
@@ -30,10 +30,10 @@ from .common import with_text
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, ATTENTION = 16, 12, 12
 #: Rows of either embedding table, and the lengths of character n-grams.
-ROWS, GRAMS = 1 << 14, (3, 4, 5)
-#: Training documents of either class at most, and windows of one of them (chosen at random).
-SAMPLE, PER_DOCUMENT = 1500, 32
-EPOCHS = 9
+ROWS, GRAMS = 1 << 16, (3, 4, 5)
+#: Toxic training documents at most (and CLEAN times as many clean ones), and windows of one of them (chosen at random).
+SAMPLE, CLEAN, PER_DOCUMENT = 1200, 3, 24
+EPOCHS = 6
 _U = np.uint64
 STRIP = ".,;:!?\"'()[]"
 
@@ -188,10 +188,12 @@ class Network:
             g[f"U{d}"], g[f"W{d}"], g[f"c{d}"] = du_, x.T @ dproj, dproj[1:].sum(0)
             dx += dproj @ p[f"W{d}"].T
         dx = dx[1:]
-        g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
-        np.add.at(g["word"], w.word, dx)
         each = np.repeat(np.arange(len(w.word)), w.count)
-        np.add.at(g["gram"], w.grams, dx[each] / w.count[each][:, None])
+        for name, rows, d in (("word", w.word, dx), ("gram", w.grams, dx[each] / w.count[each][:, None])):
+            at, where = np.unique(rows, return_inverse=True)
+            sums = np.zeros((len(at), DIM), np.float32)
+            np.add.at(sums, where.reshape(-1), d)
+            g[name] = (at, sums)
         loss = -np.mean(np.log(np.where(label > 0.5, y, 1 - y) + 1e-7))
         return g, float(loss)
 
@@ -231,6 +233,11 @@ def train(texts: list[str], toxic: list[int], seed: int = 0, epochs: int = EPOCH
             step += 1
             rate = 0.01 * (0.5 if epoch > epochs // 2 else 1.0)
             for k, v in g.items():
+                if isinstance(v, tuple):  # rows of a table: steps by each one's own history
+                    at, v = v
+                    s[k][at] += v * v
+                    net.p[k][at] -= 4 * rate * v / (np.sqrt(s[k][at]) + 1e-6)
+                    continue
                 m[k] = 0.9 * m[k] + 0.1 * v
                 s[k] = 0.999 * s[k] + 0.001 * v * v
                 net.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
@@ -241,13 +248,13 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """(text, toxic): at most ``size`` labelled training rows of either class."""
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.filter(~held_out(F.col("doc_id"))).withColumn("at", F.xxhash64("doc_id"))
-    chosen = [marked.filter(F.col("toxic") == k).orderBy("at", "doc_id").limit(size) for k in (0, 1)]
-    few = F.broadcast(chosen[0].union(chosen[1]).select(F.col("doc_id").alias("i"), "toxic"))  # 2 * size rows at most
+    chosen = [marked.filter(F.col("toxic") == k).orderBy("at", "doc_id").limit(n) for k, n in ((0, CLEAN * size), (1, size))]
+    few = F.broadcast(chosen[0].union(chosen[1]).select(F.col("doc_id").alias("i"), "toxic"))  # a bounded number of rows
     return with_text(docs).join(few, F.col("doc_id") == F.col("i")).select("doc_id", "text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Network | float:
-    rows = sorted(sample(docs, labels, size).limit(2 * size).collect(), key=lambda r: (r["doc_id"], r["text"]))
+    rows = sorted(sample(docs, labels, size).collect(), key=lambda r: (r["doc_id"], r["text"]))
     rows = [r for r in rows if r["text"].split()]
     seen = {r["toxic"] for r in rows}
     if 1 not in seen:
@@ -280,3 +287,23 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
     """Per row: doc_id, held_out, score, predicted."""
     out = score(docs, learn(docs, labels))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns, in one pass."""
+    model = learn(docs, labels)
+
+    def f(batches):
+        for b in batches:
+            texts, at, keep = [t or "" for t in b.column("text").to_pylist()], 0, []
+            while at < len(texts):
+                to, total = at, 0
+                while to < len(texts) and total < 1 << 20:
+                    total += len(texts[to])
+                    to += 1
+                part = texts[at:to]
+                keep += [not (isinstance(model, float) and model >= threshold and t.split()) for t in part] if isinstance(model, float) else (model.scores(part) < threshold).tolist()
+                at = to
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(f, docs.schema)

@@ -68,8 +68,8 @@ def test_crowded_cells_are_dealt_in_blocks(spark):
     while len(fps) < 300:
         fps.add(center ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(20)))
     far = [rng.getrandbits(64) for _ in range(200)]
-    points = [(f - (1 << 64) if f >> 63 else f, n) for n, f in enumerate([*fps, *far])]
-    df = spark.createDataFrame(points, "fp long, node long")
+    points = [(f - (1 << 64) if f >> 63 else f, 0, n) for n, f in enumerate([*fps, *far])]
+    df = spark.createDataFrame(points, "fp long, more long, node long")
     for cell in (16, 4096):
         got = simhash.connected_components(simhash.links(df, cell=cell))
         pairs = {r.node: r.root for r in got.collect()}
@@ -77,7 +77,7 @@ def test_crowded_cells_are_dealt_in_blocks(spark):
         todo, seen = [0], {0}
         while todo:
             a = todo.pop()
-            for n, (f, _) in enumerate(points):
+            for n, (f, _, _) in enumerate(points):
                 if n not in seen and near(points[a][0], f):
                     seen.add(n)
                     todo.append(n)
@@ -92,5 +92,26 @@ def test_null_ids_and_empty_table(spark):
 
 def test_one_of_each_class_stays(spark):
     rows = corpus()
-    kept = [r.doc_id for r in simhash.keep_one(table(spark, rows), width=4).collect()]
+    kept = [r.doc_id for r in simhash.keep_one(table(spark, rows), radius=4, width=4, both=None).collect()]
     assert sorted(kept) == sorted({c for _, _, c in slow_components(rows)})
+
+
+def test_far_copies_go_and_other_texts_stay(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for g in range(40):
+        base = [rng.choice(words) for _ in range(400)]
+        copy = list(base)
+        for _ in range(3):
+            copy[rng.randrange(400)] = "changed"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    kept = [r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()]
+    assert {2 * g for g in range(40)} <= set(kept) and len(kept) <= 44
+
+
+def test_every_choice_of_segments_covers_the_fingerprint():
+    for n in (1, 10**5, 10**7, 10**10):
+        for radius in (4, 10):
+            parts = simhash.segments(simhash.choose_segments(n, radius))
+            assert sum(w for _, w in parts) == 64 and len(parts) <= radius
