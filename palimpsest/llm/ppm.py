@@ -314,7 +314,7 @@ def score_documents(docs: DataFrame, train: Column | None = None, order: int = O
     train = ~held_out(F.col("doc_id")) if train is None else train
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
     low = low_counts(docs)
-    chunks = n_chunks(docs)
+    chunks = n_chunks(docs, size=5 << 20)  # a chunk's words are Python objects
     shards = n_shards(chunks)
     by_chunk = lambda df: df.groupBy("chunk")
     dealt = chunked(docs, chunks)
