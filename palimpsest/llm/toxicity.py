@@ -32,7 +32,7 @@ DIM, HIDDEN, ATTENTION = 16, 12, 12
 #: Rows of either embedding table, and the lengths of character n-grams.
 ROWS, GRAMS = 1 << 16, (3, 4, 5)
 #: Toxic training documents at most (and CLEAN times as many clean ones), and windows of one of them (chosen at random).
-SAMPLE, CLEAN, PER_DOCUMENT = 1200, 3, 24
+SAMPLE, CLEAN, PER_DOCUMENT = 800, 5, 8
 EPOCHS = 6
 _U = np.uint64
 STRIP = ".,;:!?\"'()[]"
@@ -49,7 +49,7 @@ class Words:
         number: dict[str, int] = {}
         put = number.setdefault
         split = [t.lower().split() for t in texts]
-        self.ids = np.array([put(w, len(number)) for s in split for w in s], np.int64)
+        self.ids = np.fromiter((put(w, len(number)) for s in split for w in s), np.int32)
         self.size = np.array([len(s) for s in split], np.int64)
         spelled = [b"^" + (w.strip(STRIP) or w).encode() + b"$" for w in number]
         n = np.array([len(x) for x in spelled], np.int64)
@@ -92,7 +92,7 @@ class Words:
         n = np.where(self.size > 0, 1 + np.maximum(0, -(-(self.size - WINDOW) // STRIDE)), 0)
         text = np.repeat(np.arange(len(n)), n)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        at = nth[:, None] * STRIDE + np.arange(WINDOW)
+        at = (nth[:, None] * STRIDE + np.arange(WINDOW)).astype(np.int32)
         inside = at < self.size[text][:, None]
         start = (np.cumsum(self.size) - self.size)[text]
         where = np.where(inside, start[:, None] + at, 0)
@@ -120,6 +120,10 @@ class Network:
             x = x + np.where(w.count[:, None] > 0, sums / np.maximum(w.count, 1)[:, None], 0)
         return np.concatenate([np.zeros((1, DIM), np.float32), x.astype(np.float32)])
 
+    def project(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """What each word adds to the gates, for either direction: once for all windows."""
+        return {d: x @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"}
+
     def _run(self, d: str, proj: np.ndarray, win: np.ndarray, keep: bool):
         """States of one direction by step; with what the backward pass needs."""
         u, t_of = self.p[f"U{d}"], range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1)
@@ -138,10 +142,10 @@ class Network:
             states[t] = h
         return states, saved
 
-    def forward(self, x: np.ndarray, win: np.ndarray, keep: bool = False):
+    def forward(self, proj: dict[str, np.ndarray], win: np.ndarray, keep: bool = False):
         states, saved = {}, {}
         for d in "fb":
-            states[d], saved[d] = self._run(d, x @ self.p[f"W{d}"] + self.p[f"c{d}"], win, keep)
+            states[d], saved[d] = self._run(d, proj[d], win, keep)
         h = np.concatenate([states["f"], states["b"]], 2)
         u = np.tanh(h @ self.p["A"] + self.p["a"])
         s = np.where(win.T > 0, u @ self.p["v"], -1e9)
@@ -155,13 +159,13 @@ class Network:
         """Each text's highest window; 0 for a text without words."""
         w = Words(texts)
         win, text = w.windows()
-        x, out = self.embed(w), np.zeros(len(texts))
+        x, out = self.project(self.embed(w)), np.zeros(len(texts))
         for a in range(0, len(win), 2048):
             np.maximum.at(out, text[a : a + 2048], self.forward(x, win[a : a + 2048]).astype(float))
         return out
 
     def gradients(self, w: Words, x: np.ndarray, win: np.ndarray, label: np.ndarray) -> tuple[dict, float]:
-        y, (h, u, alpha, pooled, saved) = self.forward(x, win, True)
+        y, (h, u, alpha, pooled, saved) = self.forward(self.project(x), win, True)
         p, g, b = self.p, {}, len(win)
         dy = ((y - label) / b).astype(np.float32)
         g["o"], g["q"] = pooled.T @ dy, dy.sum(keepdims=True)
@@ -201,21 +205,27 @@ class Network:
 def train(texts: list[str], toxic: list[int], seed: int = 0, epochs: int = EPOCHS) -> Network:
     """Fit a network to labelled texts (of both classes)."""
     rng = np.random.default_rng(seed)
-    net, w = Network(seed), Words(texts)
+    net, pieces, owner = Network(seed), [], []
+    for i, t in enumerate(texts):
+        words = t.split()
+        starts = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
+        if len(starts) > PER_DOCUMENT:
+            starts = np.sort(rng.choice(starts, PER_DOCUMENT, replace=False))
+        pieces += [" ".join(words[a : a + WINDOW]) for a in starts.tolist()]
+        owner += [i] * len(starts)
+    w = Words(pieces)
     win, text = w.windows()
-    label = np.asarray(toxic)[text]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1, [len(text)]]) if len(text) else np.zeros(1, np.int64)
+    owner = np.asarray(owner)[text]
+    label = np.asarray(toxic)[owner]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
     docs = [np.arange(a, b) for a, b in zip(first[:-1], first[1:])]
-    docs = [d if len(d) <= PER_DOCUMENT else np.sort(rng.choice(d, PER_DOCUMENT, replace=False)) for d in docs]
-    every = np.concatenate(docs)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     s = {k: np.zeros_like(v) for k, v in net.p.items()}
     step, batch = 0, 128
     for epoch in range(epochs):
         if epoch >= 2:
-            x, y = net.embed(w), np.zeros(len(win))
-            for a in range(0, len(every), 2048):
-                y[every[a : a + 2048]] = net.forward(x, win[every[a : a + 2048]])
+            x = net.project(net.embed(w))
+            y = np.concatenate([net.forward(x, win[a : a + 2048]) for a in range(0, len(win), 2048)])
         chosen = []
         for d in docs:
             if epoch < 2:
@@ -225,11 +235,18 @@ def train(texts: list[str], toxic: list[int], seed: int = 0, epochs: int = EPOCH
                 chosen.append(by[:2] if label[d[0]] == 0 else by[:1])
                 if label[d[0]] == 0 and len(d) > 2:
                     chosen.append(rng.choice(d, 1))
-        chosen = rng.permutation(np.concatenate(chosen))
-        for a in range(0, len(chosen), batch):
-            i = chosen[a : a + batch]
-            part, own = w.only(win[i])
-            g, _ = net.gradients(part, net.embed(part), own, label[i].astype(np.float32))
+        # Clean words over and over: what a single word that is not toxic must not do.
+        chosen = np.concatenate(chosen)
+        clean = np.flatnonzero(label == 0)
+        again = win[rng.choice(clean, len(chosen) // 3), rng.integers(0, WINDOW, len(chosen) // 3)]
+        again = np.repeat(again[again > 0][:, None], WINDOW, 1)
+        again[:, int(rng.integers(8, WINDOW)) :] = win[rng.choice(clean, len(again)), -1][:, None]
+        seen, marks = np.concatenate([win[chosen], again]), np.concatenate([label[chosen], np.zeros(len(again), np.int64)])
+        order = rng.permutation(len(seen))
+        for a in range(0, len(order), batch):
+            i = order[a : a + batch]
+            part, own = w.only(seen[i])
+            g, _ = net.gradients(part, net.embed(part), own, marks[i].astype(np.float32))
             step += 1
             rate = 0.01 * (0.5 if epoch > epochs // 2 else 1.0)
             for k, v in g.items():
