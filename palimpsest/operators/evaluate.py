@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed as X
 from ..functions.spanx import overlap, part
@@ -186,3 +188,24 @@ def clean_rows_hit(texts: DataFrame, golds: DataFrame, preds: DataFrame) -> Data
     empty = texts.select("row_id").join(golds.select("row_id").distinct(), "row_id", "left_anti")
     bad = preds.select("row_id").distinct().withColumn("bad", F.lit(1))
     return empty.join(bad, "row_id", "left").agg(F.count("*").alias("negatives"), F.count("bad").alias("with_false_span"))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def offset_map(original: pd.Series, changed: pd.Series) -> pd.Series:
+    """For each place of the changed text its place in the original, by longest common blocks."""
+
+    def one(a: str, b: str) -> list[int]:
+        out = [0] * (len(b) + 1)
+        for kind, i, i_end, j, j_end in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            for k in range(j, j_end):
+                out[k] = i + k - j if kind == "equal" else i
+        out[len(b)] = len(a)
+        return out
+
+    return pd.Series([one(a or "", b or "") for a, b in zip(original, changed)])
+
+
+def to_original(spans: Column, places: Column) -> Column:
+    """Spans of the normalised text in the original: the end is that of the last character."""
+    end = lambda s: F.greatest(F.get(places, s["end"] - 1) + 1, F.when(s["end"] == F.size(places) - 1, F.get(places, s["end"])).otherwise(F.lit(0)))
+    return F.transform(spans, lambda s: F.struct(F.get(places, s["start"]).alias("start"), end(s).cast("int").alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"), s["branch"].alias("branch")))

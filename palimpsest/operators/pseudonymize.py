@@ -78,6 +78,14 @@ def _loose(threshold: dict[str, float], normal: Callable[[str, str], str]):
     return f
 
 
+def rank(rows: DataFrame) -> DataFrame:
+    """(session, entity_type, value, id): distinct values by first appearance. Values are
+    folded before they are ranked, so a value that all texts have costs one row."""
+    first = rows.groupBy("session", "entity_type", "value").agg(F.min(F.struct("text_ord", "start")).alias("first"))
+    order = Window.partitionBy("session", "entity_type").orderBy("first", "value")
+    return first.select("session", "entity_type", "value", F.row_number().over(order).cast("int").alias("id"))
+
+
 def fold_case(kind: str, value: str) -> str:
     """The stand-in for a morphology provider: lower case, no inflection."""
     return value.lower()
@@ -88,11 +96,9 @@ def assign(found: DataFrame, loose: bool = True, normal: Callable[[str, str], st
     appearance; equal values share one."""
     rows = mentions(found)
     is_loose = F.col("entity_type").isin(*X.FUZZY) if loose else F.lit(False)
+    cols = ["session", "text_ord", "doc_id", "start", "end", "entity_type", "value", "id"]
     exact = rows.filter(~is_loose)
-    first = exact.groupBy("session", "entity_type", "value").agg(F.min(F.struct("text_ord", "start")).alias("first"))
-    first = first.withColumn("id", F.row_number().over(Window.partitionBy("session", "entity_type").orderBy("first"))).drop("first")
-    keys = ["session", "entity_type", "value"]
-    out = exact.join(first, keys).select("session", "text_ord", "doc_id", "start", "end", "entity_type", "value", F.col("id").cast("int").alias("id"))
+    out = exact.join(rank(exact), ["session", "entity_type", "value"]).select(*cols)
     if loose:
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
         out = out.unionByName(rows.filter(is_loose).groupBy("session", "entity_type").applyInPandas(_loose(X.FUZZY, normal), f"{kinds}, id int"))
