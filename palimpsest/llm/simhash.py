@@ -169,9 +169,9 @@ def links(points: DataFrame, radius: int = RADIUS, both: int = 128, cell: int =
     n = points.count()
     count = choose_segments(n, radius)
     entries = points.mapInArrow(_entries(count, radius), "cell long, fp long, more long, node long, member boolean")
-    sizes = entries.groupBy("cell").agg(F.count_if("member").alias("members"), F.count("*").alias("rows")).filter("members > 0 and rows > 1")
-    sizes = sizes.select("cell", F.ceil(F.col("members") / cell).cast("int").alias("blocks"))
-    met = entries.join(sizes, "cell")
+    crowded = entries.filter("member").groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > cell)
+    crowded = crowded.select("cell", F.ceil(F.col("members") / cell).cast("int").alias("blocks"))
+    met = entries.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # One block: one cell. More: every pair of blocks is a cell.
     block = F.pmod(F.xxhash64("fp", "more", F.lit("block")), F.col("blocks")).cast("int")
     met = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
