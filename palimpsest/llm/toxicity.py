@@ -55,9 +55,9 @@ class Words:
         n = np.array([len(x) for x in spelled], np.int64)
         buf = np.frombuffer(b"".join(spelled) + b"\0" * max(GRAMS), np.uint8).astype(_U)
         first = np.cumsum(n) - n
-        owner = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(owner)) - first[owner] if len(n) else owner
-        word = np.zeros(len(owner), _U)
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        place = (np.arange(len(owner)) - first[owner]).astype(np.int32) if len(n) else owner
+        word = np.zeros(0, _U)
         rows, owners = [], []
         h = np.zeros(len(owner), _U)
         for k in range(max(GRAMS)):
@@ -65,16 +65,17 @@ class Words:
             h ^= h >> _U(29)
             if k + 1 in GRAMS:
                 fits = place + k + 1 <= n[owner] if len(n) else np.zeros(0, bool)
-                rows.append(((h[fits] * _U(0xD6E8FEB86659FD93)) >> _U(40)) % _U(ROWS))
+                rows.append((((h[fits] * _U(0xD6E8FEB86659FD93)) >> _U(40)) % _U(ROWS)).astype(np.int32))
                 owners.append(owner[fits])
         if len(n):
             power = (place.astype(_U) + _U(1)) * _U(0x9FB21C651E98DF25)
             word = np.add.reduceat((buf[: len(owner)] + _U(7)) * (power ^ (power >> _U(31))), first)
         self.word = (((word ^ (word >> _U(30))) * _U(0xBF58476D1CE4E5B9)) >> _U(40)).astype(np.int64) % ROWS
-        owners, rows = np.concatenate(owners), np.concatenate(rows).astype(np.int64)
-        order = np.argsort(owners, kind="stable")
-        self.grams, owners = rows[order], owners[order]
+        del h, word, place, owner, buf
+        owners, rows = np.concatenate(owners), np.concatenate(rows)
         self.count = np.bincount(owners, minlength=len(n))
+        self.grams = rows[np.argsort(owners, kind="stable")]
+        del owners, rows
         self.first = np.cumsum(self.count) - self.count
 
     def only(self, win: np.ndarray) -> tuple[Words, np.ndarray]:
