@@ -47,6 +47,13 @@ def n_shards(chunks: int) -> int:
     return int(min(2048, max(16, chunks // 2)))
 
 
+def slices(batches, rows: int):
+    """Record batches cut to ``rows`` at most, so that a worker holds few texts as objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def ids_of(table: pa.Table) -> np.ndarray:
     """doc_id as int64; a null doc_id counts as larger than all others."""
     return table["doc_id"].combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -24,13 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpoint, with_text
+from .common import checkpoint, slices, with_text
 
 LIMIT = 4096
 #: The id after each document.
 END = 1
-#: Entries of either of a worker's two caches of words; a full one starts anew.
-CACHE = 400_000
+#: Entries of a worker's cache of words; it starts anew when full.
+CACHE = 200_000
 
 
 #: Letters that are one lower-case letter each in lower case, and letters in any normal form.
@@ -58,7 +58,6 @@ class WordEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}  # of plain words without their mark, in lower case
         self.marks: dict[str, bytes] = {}
 
     def _plain(self, words: list[str]) -> list[bytes]:
@@ -83,13 +82,7 @@ class WordEncoder:
                 plain.setdefault(core.lower(), []).append((w, mark))
             else:
                 self.words[w] = self._direct(w)
-        if len(self.cores) > CACHE:
-            self.cores = {}
-        new = [low for low in plain if low not in self.cores]
-        if new:
-            self.cores.update(zip(new, self._plain(new)))
-        for low, whole in plain.items():
-            ids = self.cores[low]
+        for whole, ids in zip(plain.values(), self._plain(list(plain)) if plain else ()):
             for w, mark in whole:
                 if mark and mark not in self.marks:
                     self.marks[mark] = self._direct(mark)
@@ -127,7 +120,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
         code = encoder(path)
         while at < len(ids):
             to, total = at, 0
-            while to < len(ids) and total < 1 << 22:
+            while to < len(ids) and total < 1 << 21:
                 total += len(texts[to])
                 to += 1
             for i, x in zip(ids[at:to], code.encode(texts[at:to])):
@@ -139,7 +132,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
         return out
 
     def f(batches):
-        for b in batches:
+        for b in slices(batches, 1024):
             cols = [list(c) for c in zip(*rows(b))] or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],

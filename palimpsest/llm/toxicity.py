@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import with_text
+from .common import slices, with_text
 
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, ATTENTION = 16, 12, 12
@@ -286,11 +286,11 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
     """(doc_id, score) of every row."""
 
     def f(batches):
-        for b in batches:
+        for b in slices(batches, 256):
             ids, texts, at, out = b.column("doc_id"), b.column("text").to_pylist(), 0, []
             while at < len(texts):
                 to, total = at, 0
-                while to < len(texts) and total < 1 << 20:
+                while to < len(texts) and total < 1 << 19:
                     total += len(texts[to])
                     to += 1
                 part = texts[at:to]
@@ -312,11 +312,11 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
     model = learn(docs, labels)
 
     def f(batches):
-        for b in batches:
+        for b in slices(batches, 256):
             texts, at, keep = [t or "" for t in b.column("text").to_pylist()], 0, []
             while at < len(texts):
                 to, total = at, 0
-                while to < len(texts) and total < 1 << 20:
+                while to < len(texts) and total < 1 << 19:
                     total += len(texts[to])
                     to += 1
                 part = texts[at:to]
