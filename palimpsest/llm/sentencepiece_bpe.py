@@ -145,10 +145,11 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        raw = [w[1:].replace(SPACE, " ") if self.model.dummy_prefix else w.replace(SPACE, " ") for w in words]
-        own = self.library.encode(raw, num_threads=1)
+        # No piece crosses into a word, so the library's ids after another word are the word's own.
+        first = self.library.encode("a")
+        own = self.library.encode(["a" * w.startswith(SPACE) + w.replace(SPACE, " ") for w in words], num_threads=1)
         for w, e, o in zip(words, got, own):
-            self.words[w] = np.array(e.ids, "<u4").tobytes(), e.ids == o
+            self.words[w] = np.array(e.ids, "<u4").tobytes(), (first if w.startswith(SPACE) else []) + e.ids == o
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Each text's ids as little-endian 32-bit numbers, and whether all words agree."""
