@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # Element names by their role in HTML.
 DROPPED = frozenset("head script style noscript template nav footer aside form iframe object svg math canvas button select option datalist textarea audio video dialog menu title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -187,6 +188,11 @@ def select(found: list[tuple[str, str, int, bool, bool]], share: float = 0.5) ->
         good = float(fused[at].mean()) >= bar
         for i in at:
             out[i] = links[i] < 0.7 if article and found[i][3] else good and not article
+    # A heading goes with the text below it in the same element.
+    for i in range(len(found) - 2, -1, -1):
+        parent, _, tag = found[i][0].rpartition("/")
+        if tag in HEADINGS and not found[i][4] and not out[i]:
+            out[i] = out[i + 1] and found[i + 1][0].rpartition("/")[0] == parent
     return out
 
 
