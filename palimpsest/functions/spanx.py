@@ -8,6 +8,7 @@ two characters are taken out of the input first.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,6 +18,20 @@ SPAN = "struct<start:int,end:int,entity_type:string,score:double,branch:string>"
 SPANS = f"array<{SPAN}>"
 
 
+@contextmanager
+def uncaptured():
+    """Columns made in here record no call sites: with thousands of expressions that costs
+    most of a plan's time. The same as spark.python.sql.dataFrameDebugging.enabled=false."""
+    from pyspark.errors import utils
+
+    before = getattr(utils, "_enable_debugging_cache", None)
+    utils._enable_debugging_cache = False
+    try:
+        yield
+    finally:
+        utils._enable_debugging_cache = before
+
+
 def settle(rows: DataFrame) -> DataFrame:
     """The same rows, with every column computed here: the optimizer can't copy a long
     expression into each place that reads it. One inline generator, no shuffle."""

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import checks, context as C, fixed as X, normalize as N
-from ..functions.spanx import SPANS, matches, part, same, settle, without_overlap
+from ..functions.spanx import SPANS, matches, part, same, settle, uncaptured, without_overlap
 from . import resolve
 
 Rule = Callable[[Column], Column]  # candidate -> struct(score, entity_type) or null
@@ -288,22 +288,9 @@ def normalised(docs: DataFrame, english: bool = True) -> DataFrame:
     return docs.select("doc_id", "text", N.normalise(F.col("text"), english).alias("norm"))
 
 
-def detect(docs: DataFrame, catalog: Catalog | None = None, *, model: DataFrame | None = None, translit: bool = True, english: bool = True, base64: bool = True) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, text, norm, spans, rejected.
-
-    ``model`` has precomputed spans (doc_id, spans) over the normalised text; without it the
-    model branch is empty. A text with more base64 than the budget is refused as a whole:
-    ``rejected`` says why, and it has no spans. Null and empty texts have no spans.
-    """
-    catalog = catalog or Catalog()
-    rows = settle(normalised(docs, english))
-    none, empty = F.array().cast("array<struct<start:int,end:int,decoded:string>>"), F.array().cast(SPANS)
-    rows = settle(rows.withColumn("blobs", N.base64_blobs(F.col("norm")) if base64 else none))
-    size = F.aggregate(F.col("blobs"), F.lit(0), lambda a, b: a + F.char_length(b["decoded"]))
-    over = (F.size("blobs") > X.BASE64_BLOBS) | (size > X.BASE64_CHARS)
-    rows = settle(rows.withColumn("rejected", F.when(over, F.lit("base64 budget"))))
-    rows = rows.withColumn("blobs", F.when(F.col("rejected").isNull(), F.col("blobs")).otherwise(none))
-    rows = settle(rows.withColumn("work", F.when(F.col("rejected").isNull(), F.col("norm")).otherwise(F.lit(""))))
+def _all_texts(rows: DataFrame, catalog: Catalog, translit: bool) -> DataFrame:
+    """``rows`` (work, blobs) with ``main``: spans of the text, its Cyrillic form and its blobs."""
+    empty = F.array().cast(SPANS)
     rows = settle(rows.withColumn("blanked", N.blank_out(F.col("work"), F.col("blobs"))))
     rows = settle(rows.withColumn("latin", N.looks_like_translit(F.col("blanked")) if translit else F.lit(False)))
     rows = settle(rows.withColumn("cyr", N.to_cyrillic(F.col("blanked"), F.col("latin"))))
@@ -330,6 +317,30 @@ def detect(docs: DataFrame, catalog: Catalog | None = None, *, model: DataFrame
     inside = F.flatten(F.transform("blobs", lambda b, i: F.transform(F.get("by_text", first + i), lambda s: _moved(s, b["start"], b["end"]))))
     main = F.concat(F.col("back"), without_overlap(F.get("by_text", F.lit(0)), F.col("back")), F.coalesce(inside.cast(SPANS), empty))
     rows = settle(rows.withColumn("main", main))
+    return rows
+
+
+def detect(docs: DataFrame, catalog: Catalog | None = None, *, model: DataFrame | None = None, translit: bool = True, english: bool = True, base64: bool = True) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, text, norm, spans, rejected.
+
+    ``model`` has precomputed spans (doc_id, spans) over the normalised text; without it the
+    model branch is empty. A text with more base64 than the budget is refused as a whole:
+    ``rejected`` says why, and it has no spans. Null and empty texts have no spans.
+    """
+    with uncaptured():
+        return _detect(docs, catalog or Catalog(), model, translit, english, base64)
+
+
+def _detect(docs: DataFrame, catalog: Catalog, model: DataFrame | None, translit: bool, english: bool, base64: bool) -> DataFrame:
+    rows = settle(normalised(docs, english))
+    none, empty = F.array().cast("array<struct<start:int,end:int,decoded:string>>"), F.array().cast(SPANS)
+    rows = settle(rows.withColumn("blobs", N.base64_blobs(F.col("norm")) if base64 else none))
+    size = F.aggregate(F.col("blobs"), F.lit(0), lambda a, b: a + F.char_length(b["decoded"]))
+    over = (F.size("blobs") > X.BASE64_BLOBS) | (size > X.BASE64_CHARS)
+    rows = settle(rows.withColumn("rejected", F.when(over, F.lit("base64 budget"))))
+    rows = rows.withColumn("blobs", F.when(F.col("rejected").isNull(), F.col("blobs")).otherwise(none))
+    rows = settle(rows.withColumn("work", F.when(F.col("rejected").isNull(), F.col("norm")).otherwise(F.lit(""))))
+    rows = _all_texts(rows, catalog, translit) if translit or base64 else rule_spans(rows, "work", "main", catalog)
     rows = rows.withColumnRenamed("main", "rules").select("doc_id", "text", "norm", "work", "rules", "rejected")
     if model is not None:
         m = model.select(F.col("doc_id").alias("model_id"), F.col("spans").cast(SPANS).alias("model_spans"))
