@@ -13,9 +13,12 @@ side of the ball is enumerated once.
 * Pairs are verified in numpy and never leave their task: a task returns a spanning forest
   of the links that it found, at most one row a fingerprint.
 
-Where links reach further (``keep_one`` looks for a shingle similarity of 0.8, which is many
-bits), 64 bits can't tell copies from chance: a second fingerprint under another seed
-travels along, and both together must be near.
+``keep_one`` (for the pipeline) looks for a shingle similarity, which is many bits of a
+fingerprint. There fingerprints only propose: sixteen of them, each under its own seed, are
+cut in 64 segments, and a pair with an equal segment and 128 bits that aren't far apart is a
+candidate. Then every pair within a connected set of candidates is held by its exact shingle
+sets, and only pairs that reach the similarity are links. What fingerprints may miss is a
+pair with no equal segment: by chance 1 pair in 1,000 at a similarity of 0.8, and fewer above.
 
 Nulls and empty texts have fingerprint zero, linked like any other. Repeated rows are
 linked. A null doc_id counts as larger than all others and comes back null. Extra columns
@@ -32,22 +35,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, components, connected_components, text_bytes, with_text
+from .common import checkpoint, components, connected_components, mix, slices, text_bytes, with_text
+from .exact_dedup import may_contain
 
 RADIUS = 4
 SEED = 42
 #: Members of a table cell that one task compares with one another.
 CELL = 4096
-#: For the pipeline: bits that may differ in the fingerprint, and in it and the second one together. Copies with a similarity of 0.8 or more of their five-word shingles lie about there.
-FAR, FAR_BOTH = 10, 24
+#: For the pipeline: copies share this much of their five-word shingles (a fraction).
+SIMILAR = (4, 5)
+#: Fingerprints for candidates, by a seed each; segments of each, and bits of a segment.
+SEEDS, CUTS, BITS = 16, 4, 14
+#: Bits of the first 128 that candidates may differ in. At a similarity of 0.8 about 19 do (deviation 4); 64 do by chance.
+CANDIDATE_BITS = 36
+#: Shingle sets that one task compares with one another: sets, and shingles of them all.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _NONE = np.iinfo(np.int64).max
 
 
-def fingerprint(data: bytes, width: int = 4, seed: int = SEED) -> int:
-    """64 bits: set where more than half of the shingles' XXH64 have it set."""
+def shingles(data: bytes, width: int = 4, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each run of ``width`` words; of all words where there are fewer."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.array([], "<u8")
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
@@ -55,7 +65,14 @@ def fingerprint(data: bytes, width: int = 4, seed: int = SEED) -> int:
     end = end.tolist()
     k = min(width, len(words))
     f = xxhash.xxh64_intdigest
-    h = np.array([f(joined[a:b], seed) for a, b in zip(start, end[k - 1 :])], "<u8")
+    return np.array([f(joined[a:b], seed) for a, b in zip(start, end[k - 1 :])], "<u8")
+
+
+def fingerprint(data: bytes, width: int = 4, seed: int = SEED) -> int:
+    """64 bits: set where more than half of the shingles' XXH64 have it set."""
+    h = shingles(data, width, seed)
+    if not len(h):
+        return 0
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = bits.sum(0, dtype=np.int64) * 2 > len(h)
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
@@ -162,13 +179,20 @@ def _verify(radius: int, both: int):
     return f
 
 
+_ENTRY = "cell long, fp long, more long, node long, member boolean"
+
+
 def links(points: DataFrame, radius: int = RADIUS, both: int = 128, cell: int = CELL) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints differ by ``radius`` bits or fewer, and
     by ``both`` with the second ones: enough edges to connect all that are linked.
     points: distinct (fp, more, node)."""
     n = points.count()
     count = choose_segments(n, radius)
-    entries = points.mapInArrow(_entries(count, radius), "cell long, fp long, more long, node long, member boolean")
+    return _meet(points.mapInArrow(_entries(count, radius), _ENTRY), n, radius, both, cell)
+
+
+def _meet(entries: DataFrame, n: int, radius: int, both: int, cell: int = CELL) -> DataFrame:
+    """Edges between the entries of a cell, of ``n`` fingerprints."""
     crowded = entries.filter("member").groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > cell)
     crowded = crowded.select("cell", F.ceil(F.col("members") / cell).cast("int").alias("blocks"))
     met = entries.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -196,8 +220,157 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4, both:
     return out.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), F.when(F.col("component_id") < _NONE, F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = FAR, width: int = 5, both: int | None = FAR_BOTH) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each class (for the pipeline)."""
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Fingerprints of a set of shingles under ``SEEDS`` seeds, from one hash of each."""
+    salt = mix(np.arange(1, SEEDS + 1, dtype=np.uint64))
+    count = np.zeros(64 * SEEDS, np.int64)
+    for at in range(0, len(h), 255):
+        bits = np.unpackbits(mix(h[at : at + 255, None] + salt).view(np.uint8), axis=1, bitorder="little")
+        count += bits.sum(0, dtype=np.uint8)
+    return np.packbits(count * 2 > len(h), bitorder="little").view("<u8")
+
+
+def _sketches(width: int):
+    """Texts -> node (a hash of the set of shingles), its size, 128 bits and the segments' values."""
+
+    def f(batches):
+        for b in batches:
+            sets = [np.unique(shingles(bytes(x), width)) for x in text_bytes(pa.Table.from_batches([b]))]
+            found = np.array([sketch(h) for h in sets], np.uint64).reshape(len(sets), SEEDS)
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64)
+            cut = found[:, :, None] >> (np.arange(CUTS, dtype=np.uint64) * np.uint64(64 // CUTS))
+            cells = (cut & np.uint64((1 << BITS) - 1)).astype("<u2").reshape(len(sets), SEEDS * CUTS)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("key"), *(pa.array(x.view(np.int64)) for x in (node, found[:, 0].copy(), found[:, 1].copy())), pa.array([len(h) for h in sets], pa.int64()), pa.array([c.tobytes() for c in cells], pa.binary())],
+                names=["doc_id", "key", "node", "fp", "more", "size", "cells"],
+            )
+
+    return f
+
+
+def _segment_entries(batches):
+    """Nodes -> an entry for each segment's value."""
+    tag = np.arange(SEEDS * CUTS, dtype=np.int64) << BITS
+    for b in batches:
+        cells = np.frombuffer(b"".join(b.column("cells").to_pylist()), "<u2").reshape(b.num_rows, len(tag)) + tag
+        row = pa.array(np.repeat(np.arange(b.num_rows), len(tag)))
+        yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *(b.column(c).take(row) for c in ("fp", "more", "node")), pa.array(np.ones(cells.size, bool))], names=["cell", "fp", "more", "node", "member"])
+
+
+def _sets(width: int):
+    """Texts -> their sets of shingles, as bytes."""
+
+    def f(batches):
+        for b in slices(batches, 1000):
+            sets = [np.unique(shingles(bytes(x), width)).tobytes() for x in text_bytes(pa.Table.from_batches([b]))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "root", "blocks")), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["node", "root", "blocks", "held"])
+
+    return f
+
+
+def similar_links(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sets' Jaccard similarity is ``similar`` or more."""
+    m, (over, under) = len(sets), similar
+    size = np.array([len(x) for x in sets])
+    end = np.cumsum(size)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if m else np.array([], np.int64)
+    owner = np.repeat(np.arange(m), size)
+    waiting, out = np.ones(m, bool), []
+
+    def index():
+        """Holders of each shingle, of the sets that wait."""
+        live = np.flatnonzero(waiting[owner])
+        live = live[np.argsort(ids[live], kind="stable")]
+        return owner[live], np.concatenate([[0], np.cumsum(np.bincount(ids[live], minlength=int(ids.max(initial=0)) + 1))]), waiting.sum()
+
+    holders, first, held = index()
+    for seed in range(m):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        todo = [seed]
+        while todo and waiting.any():
+            if waiting.sum() * 2 < held:
+                holders, first, held = index()
+            i = todo.pop()
+            own = ids[end[i] - size[i] : end[i]]
+            count = first[own + 1] - first[own]
+            at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            shared = np.bincount(holders[at], minlength=m)
+            near = np.flatnonzero(waiting & (shared * under >= (size + size[i] - shared) * over))
+            waiting[near] = False
+            todo += near.tolist()
+            out += [(i, j) for j in near.tolist()]
+    return out
+
+
+def _compare(similar: tuple[int, int]):
+    """A shard's groups of shingle sets -> links between their nodes."""
+
+    def f(table: pa.Table) -> pa.Table:
+        part, node = table["part"].to_numpy(), table["node"].to_numpy()
+        held, a, b = table["held"], [], []
+        order = np.lexsort((node, part))
+        new = np.concatenate([[True], part[order][1:] != part[order][:-1]]) if len(order) else np.array([], bool)
+        for rows in np.split(order, np.flatnonzero(new)[1:]):
+            rows = rows[np.unique(node[rows], return_index=True)[1]]
+            found = np.array(similar_links([np.frombuffer(held[int(r)].as_py(), "<u8") for r in rows], similar), np.int64).reshape(-1, 2)
+            a.append(node[rows[found[:, 0]]])
+            b.append(node[rows[found[:, 1]]])
+        none = np.array([], np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    return f
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``: rows of one doc_id and key have one text."""
+    return docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def similar_classes(docs: DataFrame, width: int, similar: tuple[int, int], block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Per row: doc_id, key, node (one for a set of shingles) and root (of the node's class)."""
+    rows = checkpoint(with_text(_keyed(docs), "key").mapInArrow(_sketches(width), "doc_id long, key long, node long, fp long, more long, size long, cells binary"))
+    id_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    points = rows.groupBy("node").agg(F.min(id_).alias("one"), *(F.first(c).alias(c) for c in ("fp", "more", "size", "cells")))
+    entries = points.select("fp", "more", "node", "cells").mapInArrow(_segment_entries, _ENTRY)
+    near = connected_components(_meet(entries, rows.count(), 64, CANDIDATE_BITS))
+    near = near.union(near.select("root", "root").distinct())
+    # A set of candidates is compared in one task if it is small; else dealt in blocks, of which each pair meets.
+    near = near.join(points.select("node", "one", "size"), "node")
+    of = near.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_shingles), F.lit(1)).cast("int").alias("blocks"))
+    near = checkpoint(near.join(of, "root").select("node", "root", "blocks", "size", F.col("one.doc_id").alias("i"), F.col("one.key").alias("digest")))
+    weight = near.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+    texts = may_contain(with_text(_keyed(docs), "key").withColumnRenamed("key", "digest"), near)
+    texts = texts.withColumnRenamed("digest", "d").join(near, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("d") == F.col("digest")))
+    sets = texts.select("node", "root", "blocks", "text").mapInArrow(_sets(width), "node long, root long, blocks int, held binary")
+    mine = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.select("node", "held", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
+    shards = int(max(32, weight >> 20))
+    edges = sets.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_compare(similar), "a long, b long")
+    return rows.select("doc_id", "key", "node").join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each class. rows: doc_id, key, node, root."""
+    id_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "key")
+    first = rows.groupBy("root", id_.alias("one")).count().groupBy("root").agg(F.min(F.struct("one", "count")).alias("m"))
+    stay = checkpoint(first.select(F.col("m.one.doc_id").alias("stay_id"), F.col("m.one.key").alias("stay_key"), F.col("m.count").alias("copies")))
+    own = _keyed(docs)
+    out = own.join(stay, own.doc_id.eqNullSafe(stay.stay_id) & (own.key == stay.stay_key), "left_semi")
+    if not stay.filter("copies > 1").isEmpty():  # rows of equal doc_id and text
+        out = out.dropDuplicates(["doc_id", "key"])
+    return out.select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, radius: int | None = None, width: int = 5, both: int | None = None, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """The rows of ``docs`` that stay: the smallest doc_id of each class (for the pipeline).
+
+    Classes are connected by pairs whose sets of shingles are ``similar``; with a ``radius``,
+    by fingerprints alone, as ``near_duplicates`` has them."""
+    if radius is None:
+        return _first_of_each(docs, similar_classes(docs, width, similar))
     out = near_duplicates(docs, radius, width, both)
     stay = out.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
     return docs.join(stay, docs.doc_id.eqNullSafe(stay.stay_id), "left_semi").dropDuplicates(["doc_id"])

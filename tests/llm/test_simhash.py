@@ -115,3 +115,53 @@ def test_every_choice_of_segments_covers_the_fingerprint():
         for radius in (4, 10):
             parts = simhash.segments(simhash.choose_segments(n, radius))
             assert sum(w for _, w in parts) == 64 and len(parts) <= radius
+
+
+def jaccard_rows(rng, similarities, n=120):
+    """Pairs of texts (ids 2g and 2g + 1), each with about the similarity asked for, and the exact one."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, exact = [], {}
+    for g, want in enumerate(similarities):
+        a = [word() for _ in range(n)]
+        b, sets = list(a), []
+        while True:
+            sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b)]
+            now = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+            if now <= want:
+                break
+            b = b[:-1] if rng.random() < 0.8 else [*b, word()]
+        exact[g] = now
+        rows += [(2 * g, " ".join(a)), (2 * g + 1, " ".join(b))]
+    return rows, exact
+
+
+def test_pairs_at_the_similarity_go_and_those_below_stay(spark):
+    rng = random.Random(21)
+    rows, exact = jaccard_rows(rng, [rng.uniform(0.65, 0.93) for _ in range(400)])
+    kept = {r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()}
+    assert {2 * g for g in exact} <= kept
+    assert not [g for g in exact if exact[g] < 0.8 and 2 * g + 1 not in kept]  # wrong drops
+    above = [g for g in exact if exact[g] >= 0.8]
+    assert len(above) > 150 and len([g for g in above if 2 * g + 1 in kept]) <= 0.01 * len(above)
+
+
+def test_similar_links_match_all_pairs(spark):
+    rng = random.Random(4)
+    sets = []
+    for _ in range(12):
+        base = [rng.getrandbits(64) for _ in range(60)]
+        sets += [simhash.np.array(sorted({x if rng.random() > 0.04 else rng.getrandbits(64) for x in base}), "<u8") for _ in range(rng.randint(1, 15))]
+    sets.append(sets[0][:0])
+    find = lambda edges: simhash.components(len(sets), *simhash.np.array(edges).T).tolist()
+    s = [set(x.tolist()) for x in sets]
+    brute = [(a, b) for a in range(len(s)) for b in range(a) if 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])]
+    assert find(simhash.similar_links(sets)) == find(brute)
+
+
+def test_large_sets_of_candidates_are_dealt_in_blocks(spark):
+    rng = random.Random(6)
+    rows, _ = jaccard_rows(rng, [0.85])
+    rows = [(i, f"{rows[i % 2][1]} tail{i}") for i in range(60)]
+    docs = table(spark, rows)
+    got = [{(r.doc_id, r.root) for r in simhash.similar_classes(docs, 5, (4, 5), block=b).collect()} for b in (7, 1024)]
+    assert got[0] == got[1] and len({r for _, r in got[0]}) == 1
