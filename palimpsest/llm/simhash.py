@@ -21,8 +21,10 @@ sets, and only pairs that reach the similarity are links. What fingerprints may
 pair with no equal segment: by chance 1 pair in 1,000 at a similarity of 0.8, and fewer above.
 
 Nulls and empty texts have fingerprint zero, linked like any other. Repeated rows are
-linked. A null doc_id counts as larger than all others and comes back null. Extra columns
-are ignored. An empty table gives an empty result.
+linked. A null doc_id counts as larger than all others and comes back null. Rows are told
+apart by their texts, not by doc_id: unlike texts with one doc_id, or with none, aren't
+linked by it, and each stays unless its own class has a smaller row. Extra columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,17 +80,18 @@ def fingerprint(data: bytes, width: int = 4, seed: int = SEED) -> int:
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, second: bool = False) -> DataFrame:
-    """(doc_id, fp, more) of every row: 64 bits as a long, and as many again (or 0)."""
+def fingerprints(docs: DataFrame, width: int = 4, second: bool = False, *more_columns: str) -> DataFrame:
+    """(doc_id, fp, more) of every row: 64 bits as a long, and as many again (or 0); and
+    the named columns of longs."""
 
     def f(batches):
         for b in batches:
             texts = [bytes(x) for x in text_bytes(pa.Table.from_batches([b]))]
             fp = np.array([fingerprint(x, width) for x in texts], np.uint64)
             more = np.array([fingerprint(x, width, SEED + 1) if second else 0 for x in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(more.view(np.int64))], names=["doc_id", "fp", "more"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(more.view(np.int64)), *map(b.column, more_columns)], names=["doc_id", "fp", "more", *more_columns])
 
-    return with_text(docs).mapInArrow(f, "doc_id long, fp long, more long")
+    return with_text(docs, *more_columns).mapInArrow(f, ", ".join(f"{c} long" for c in ("doc_id", "fp", "more", *more_columns)))
 
 
 def choose_segments(n: int, radius: int) -> int:
@@ -208,16 +211,21 @@ def hex_of(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def _classes(docs: DataFrame, radius: int, width: int, both: int | None) -> DataFrame:
+    """Per row: doc_id, key, fp, node (one for each fingerprint) and root (of the node's class)."""
+    rows = checkpoint(fingerprints(_keyed(docs), width, both is not None, "key"))
+    rows = rows.withColumn("node", F.col("fp") if both is None else F.xxhash64("fp", "more"))
+    roots = connected_components(links(rows.select("fp", "more", "node").distinct(), radius, 128 if both is None else both))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4, both: int | None = None) -> DataFrame:
     """Per row: doc_id, fingerprint, component_id (smallest doc_id reachable over links).
 
     ``both``: the bits that may differ in the fingerprint and a second one together."""
-    rows = checkpoint(fingerprints(docs, width, both is not None))
-    points = rows.groupBy("fp", "more").agg(F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("node"))
-    roots = connected_components(links(points, radius, 128 if both is None else both))
-    named = points.join(roots, "node", "left").select("fp", "more", F.coalesce("root", "node").alias("component_id"))
-    out = rows.join(named, ["fp", "more"])
-    return out.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), F.when(F.col("component_id") < _NONE, F.col("component_id")).alias("component_id"))
+    rows = _classes(docs, radius, width, both)
+    low = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(low, "root").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -371,6 +379,4 @@ def keep_one(docs: DataFrame, radius: int | None = None, width: int = 5, both: i
     by fingerprints alone, as ``near_duplicates`` has them."""
     if radius is None:
         return _first_of_each(docs, similar_classes(docs, width, similar))
-    out = near_duplicates(docs, radius, width, both)
-    stay = out.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay.stay_id), "left_semi").dropDuplicates(["doc_id"])
+    return _first_of_each(docs, _classes(docs, radius, width, both))

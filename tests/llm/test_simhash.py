@@ -165,3 +165,17 @@ def test_large_sets_of_candidates_are_dealt_in_blocks(spark):
     docs = table(spark, rows)
     got = [{(r.doc_id, r.root) for r in simhash.similar_classes(docs, 5, (4, 5), block=b).collect()} for b in (7, 1024)]
     assert got[0] == got[1] and len({r for _, r in got[0]}) == 1
+
+
+def test_unlike_texts_with_null_or_shared_ids_all_stay(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (None, a + " end"), (2, b), (None, b + " end"), (None, c), (None, c), (None, d), (7, d + " end"), (5, e), (5, c + " end"), (5, text())]
+    low = {r.fingerprint: r.component_id for r in simhash.near_duplicates(table(spark, rows), radius=12).collect()}
+    assert sorted(low.values()) == [1, 1, 2, 2, 5, 5, 5, 5, 7, 7]
+    for more in ({}, {"radius": 12}):
+        kept = sorted((r.doc_id, r.text) for r in simhash.keep_one(table(spark, rows), **more).collect())
+        assert kept == sorted([(1, a), (2, b), (5, e), (5, c + " end"), (5, rows[-1][1]), (7, d + " end")])
+    kept = simhash.keep_one(table(spark, [(None, a), (None, a), (None, b), (None, c)])).collect()
+    assert sorted(r.text for r in kept) == sorted([a, b, c])
