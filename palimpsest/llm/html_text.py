@@ -3,11 +3,14 @@
 A page is read once into blocks: the text between two block boundaries, with its path of
 tags from the root. Per path, text length and punctuation per block are aggregated, with
 the share of the text that is in links; along the page both ratios are smoothed by a
-Gaussian kernel and fused into one score, whose mean over a path's blocks is held against a
-threshold taken from the page's own scores. Containers that say what they are join in:
-blocks in an element that is marked as a menu, footer, advert, form, comments and the like
-never count, and where an article or main element holds text, its blocks stay unless they
-are lists of links.
+Gaussian kernel and fused into one score. Of each path's blocks the mean score is held
+against a threshold taken from the page's own scores, on every page.
+
+Article and main elements are one factor of that score, weighted by the square of the share of the page's
+score that lies in the element itself (``BOOST``): the text of an article that holds most of
+a page gains much and the text around it loses as much, while a teaser or a comment that is
+an article of its own changes little. Blocks in an element that is marked as a menu, footer,
+advert, form, comments and the like never count.
 
 Blocks come in page order, joined by a blank line; white space within a block is one space,
 and character references are decoded. Null, empty and textless pages give an empty text.
@@ -44,6 +47,10 @@ SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIB
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'=<>/]+)""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
+#: An article that holds all of a page's score multiplies its blocks' scores by one more than this, and divides those of others.
+BOOST = 7.0
+#: Added to the smoothed punctuation, so that text without any has a score.
+FLOOR = 0.05
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -68,12 +75,13 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
-    """(path, text, characters in links, in an article, marked) of each block in page order."""
-    out: list[tuple[str, str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in an article, marked
+def blocks(page: str) -> list[tuple[str, str, int, int, bool]]:
+    """(path, text, characters in links, innermost article's number or 0, marked) of each block in page order."""
+    out: list[tuple[str, str, int, int, bool]] = []
+    stack: list[tuple[str, int, bool]] = []  # tag, article, marked
+    articles = 0
     parts: list[str] = []
-    linked, place, at, end = 0, ("", False, False), 0, len(page)
+    linked, place, at, end = 0, ("", 0, False), 0, len(page)
 
     def flush():
         nonlocal parts, linked
@@ -98,7 +106,7 @@ def blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
             if not parts:
                 if text.isspace():
                     continue
-                place = ("/".join([t for t, _, _ in stack]), stack[-1][1] if stack else False, stack[-1][2] if stack else False)
+                place = ("/".join([t for t, _, _ in stack]), stack[-1][1] if stack else 0, stack[-1][2] if stack else False)
                 keep = 0
                 for k, (t, _, _) in enumerate(stack):
                     keep = k + 1 if t in BLOCKS else keep
@@ -149,9 +157,12 @@ def blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
             continue
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        within, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        within_now = within or tag in ("article", "main") or "articleBody" in attributes
-        stack.append((tag, within_now, marked or _marked(tag, attributes, within)))
+        within, marked = (stack[-1][1], stack[-1][2]) if stack else (0, False)
+        within_now = within
+        if tag in ("article", "main") or (not within and "articleBody" in attributes):
+            articles += 1
+            within_now = articles
+        stack.append((tag, within_now, marked or _marked(tag, attributes, within > 0)))
     flush()
     return out
 
@@ -163,7 +174,7 @@ def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(x, kernel, "full")[3 : 3 + len(x)] / weight
 
 
-def select(found: list[tuple[str, str, int, bool, bool]], share: float = 0.5) -> list[bool]:
+def select(found: list[tuple[str, str, int, int, bool]], share: float = 0.5) -> list[bool]:
     """Which blocks are content, by the fused ratios of their tag paths."""
     paths: dict[str, list[int]] = {}
     for i, (path, _, _, _, marked) in enumerate(found):
@@ -177,17 +188,26 @@ def select(found: list[tuple[str, str, int, bool, bool]], share: float = 0.5) ->
         length[at] = total / len(at)
         stop[at] = sum(stops[i] for i in at) / len(at)
         links[at] = min(1.0, sum(found[i][2] for i in at) / total)
-    fused = smooth(np.log1p(length)) * np.sqrt(smooth(np.log1p(stop))) * (1 - links)
+    fused = smooth(np.log1p(length)) * np.sqrt(FLOOR + smooth(np.log1p(stop))) * (1 - links)
     open_ = [i for at in paths.values() for i in at]
     if not open_:
         return [False] * len(found)
     bar = share * float(np.average(fused[open_], weights=[chars[i] for i in open_]))
+    # The article factor: each article by its own squared share of the score.
+    mass: dict[int, float] = {}
+    for i in open_:
+        mass[found[i][3]] = mass.get(found[i][3], 0.0) + float(fused[i])
+    total = sum(mass.values()) or 1.0
+    gain = {a: 1 + BOOST * (m / total) ** 2 if a else 1.0 for a, m in mass.items()}
+    best = max(gain, key=gain.get)
+    groups: dict[tuple[str, int], list[int]] = {}
+    for i in open_:
+        groups.setdefault((found[i][0], found[i][3]), []).append(i)
     out = [False] * len(found)
-    article = any(found[i][3] and links[i] < 0.5 for i in open_)
-    for at in paths.values():
-        good = float(fused[at].mean()) >= bar
+    for (_, a), at in groups.items():
+        good = float(fused[at].mean()) * gain[a] / (1.0 if a == best else gain[best]) >= bar
         for i in at:
-            out[i] = links[i] < 0.7 if article and found[i][3] else good and not article
+            out[i] = good
     # A heading goes with the text below it in the same element.
     for i in range(len(found) - 2, -1, -1):
         parent, _, tag = found[i][0].rpartition("/")

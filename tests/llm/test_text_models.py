@@ -36,6 +36,22 @@ def test_article_keeps_all_its_blocks():
     assert html_text.extract(page) == f"Wh\n\na\n\nb c\n\none\n\ntwo\n\n{BODY}"
 
 
+STORY = [f"Paragraph {k} of the story tells more, at length, and in whole sentences. It goes on, with commas, until it stops." for k in range(8)]
+
+
+@pytest.mark.parametrize("around", ["{}", "<article><h3>Other news</h3><p>Read this too</p></article>{}", "{}" + "<article><h3>Card</h3><p>Short card text</p></article>" * 6, "<main>{}<article><p>Nice one!</p></article></main>", "<article><p>Thanks, I liked it.</p></article>{}"])
+def test_story_in_divs_is_found_beside_articles(around):
+    page = "<body><nav><a>x</a></nav>" + around.format("<div class=story>" + "".join(f"<div>{x}</div>" for x in STORY) + "</div>") + "<div class=low><span>Site</span></div></body>"
+    got = html_text.extract(page).split("\n\n")
+    assert [x for x in got if x in STORY] == STORY and not {"Read this too", "Short card text", "Site"} & set(got)
+
+
+def test_scores_choose_within_an_article_too():
+    links = "".join(f'<li><a href="/{k}">Another page {k}</a></li>' for k in range(6))
+    page = "<body><article>" + "".join(f"<p>{x}</p>" for x in STORY) + f"<ul>{links}</ul></article><div>Some site text</div></body>"
+    assert html_text.extract(page).split("\n\n") == STORY
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- open", "<script>x", "</div></p>", "<div " * 300, '<a href="x>' * 50, "&#xZZ;&bogus;", "<p>" * 3000])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(html_text.extract(page), str)
