@@ -98,16 +98,17 @@ def components(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None =
             parent = up
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Rows (node, root): the smallest node reachable over edges (a, b), for all but the roots.
 
     Alternating large-star and small-star steps: each is a grouped minimum (with partial
     aggregation) and one equi-join, so a hub costs no more than its edges. State is
-    checkpointed each round; it ends when no edge changes.
+    checkpointed each round; it ends when no edge changes, and raises if that takes more
+    than ``rounds`` (where given).
     """
     e = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
-    for _ in range(rounds):
+    last, done = None, 0
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -117,5 +118,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == last:
             break
-        last = now
+        last, done = now, done + 1
+        if done == rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

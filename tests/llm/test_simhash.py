@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 import xxhash
 
 from palimpsest.llm import simhash
@@ -179,3 +180,10 @@ def test_unlike_texts_with_null_or_shared_ids_all_stay(spark):
         assert kept == sorted([(1, a), (2, b), (5, e), (5, c + " end"), (5, rows[-1][1]), (7, d + " end")])
     kept = simhash.keep_one(table(spark, [(None, a), (None, a), (None, b), (None, c)])).collect()
     assert sorted(r.text for r in kept) == sorted([a, b, c])
+
+
+def test_components_settle_or_say_that_they_do_not(spark):
+    path = spark.range(200).selectExpr("id as a", "id + 1 as b")
+    assert {r.root for r in simhash.connected_components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.connected_components(path, rounds=1)
