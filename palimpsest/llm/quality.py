@@ -74,7 +74,7 @@ def measures(texts: list[str]) -> list[dict]:
     for t, w, r in zip(texts, words, repeat.tolist()):
         n = len(w)
         lines = [x for x in t.split("\n") if x.strip(BLANK)]
-        letters = sum(map(str.isalpha, t)) if n < 40 else len(re.findall(r"[^\W\d_]", t))
+        letters = sum(map(str.isalpha, t))
         upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", t))
         common = sum(map(FUNCTION_WORDS.__contains__, w))
         out.append({

@@ -237,3 +237,8 @@ def test_stages_take_effect(spark, tmp_path):
     assert passage not in kept[3][1003].text and passage in kept[3][1002].text and kept[3][1003].n_chars == len(kept[3][1003].text)
     packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept[3])
+
+
+@pytest.mark.parametrize("n", [39, 41])
+def test_a_letter_is_the_same_at_every_length(n):
+    assert quality.measures(["½²Ⅳé" + " ½²Ⅳ" * (n - 1)])[0]["letters"] == 1
