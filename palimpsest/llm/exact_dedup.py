@@ -1,4 +1,6 @@
-"""Exact deduplication by a log-structured merge index of text digests (DataFrame only).
+"""Exact deduplication by an index of text digests (DataFrame only). One aggregation makes
+the index, as its only run; there are no levels, and ``compact`` merges several runs in a
+test alone.
 
 * **Memtable and flush.** Every task aggregates its own rows by digest (the partial
   aggregation of a ``groupBy``); the merged run is sorted by digest, so a run holds one
