@@ -29,23 +29,28 @@ from .common import checkpoint, slices, with_text
 LIMIT = 4096
 #: The id after each document.
 END = 1
-#: Entries of a worker's cache of words; it starts anew when full.
-CACHE = 200_000
-
-
-#: Letters that are one lower-case letter each in lower case, and letters in any normal form.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Entries of either generation of a worker's cache of words.
+CACHE = 250_000
+#: Characters that are one lower-case character each in lower case, and stable in any normal form: Latin letters up to
+#: U+017F but for one that becomes two.
+_SIMPLE = re.compile("[\0-\u012f\u0131-\u017f]*").fullmatch
+#: Lower-case words of letters, and such with marks around (an apostrophe before letters may be a contraction).
+_LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
+_SHAPE = re.compile("([!-&(-/:-@\\[-`{-~]*)([a-zà-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that never looks across a space, with a cache of words.
 
     A text's ids are those of its space-separated words one after another: the vocabulary's
-    normaliser and word pattern don't join across a space. Plain words (Latin letters and at
-    most one mark after them) go to the tokenizer's model in batches, all others to the
-    tokenizer as they are."""
-
-    def __init__(self, path: str):
+    normaliser and word pattern don't join across a space, and neither do they join letters
+    with the marks around them. So lower-case words of letters go to the tokenizer's model
+    in batches, runs of marks are kept by themselves, and all other words go to the tokenizer
+    as they are. Texts of plain Latin characters are put in lower case at once, as the
+    normaliser does with each character. The cache has two generations: when the younger is
+    full it becomes the older, whose words move over when they are met again."""
+
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
@@ -57,44 +62,54 @@ class WordEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabet
         hidden = [b for b in range(256) if b not in set(shown)]
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.cache = cache
         self.words: dict[str, bytes] = {"": b""}
-        self.marks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, words: list[str]) -> list[bytes]:
         """Ids of lower-case words of letters."""
         texts = [w if w.isascii() else "".join(map(self.alphabet.__getitem__, w.encode())) for w in words]
-        got = self.bare.encode_batch_fast([" ".join(texts[i : i + 32]) for i in range(0, len(texts), 32)], add_special_tokens=False)
-        ids = np.array([i for e in got for i in e.ids], "<u4")
+        got = self.bare.encode_batch_fast([" ".join(texts[i : i + 64]) for i in range(0, len(texts), 64)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in got])
         cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
         if len(cut) != len(words) + 1:
             raise ValueError("the vocabulary doesn't mark the ends of words")
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(cut, cut[1:])]
 
-    def _direct(self, word: str) -> bytes:
-        return np.array(self.full.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _direct(self, words: list[str]) -> None:
+        """Words as they are, some hundred at a time (a long word's encoding is large)."""
+        for at in range(0, len(words), 256):
+            some = words[at : at + 256]
+            for w, e in zip(some, self.full.encode_batch_fast(some, add_special_tokens=False)):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _known(self, words: set[str]) -> set[str]:
+        """Of words that the younger generation lacks: those that the older has move over; the rest."""
+        old = words & self.older.keys()
+        for w in old:
+            self.words[w] = self.older[w]
+        return words - old
 
     def learn(self, words: set[str]) -> None:
-        plain: dict[str, list[tuple[str, str]]] = {}
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-            if PLAIN(core):
-                plain.setdefault(core.lower(), []).append((w, mark))
-            else:
-                self.words[w] = self._direct(w)
-        for whole, ids in zip(plain.values(), self._plain(list(plain)) if plain else ()):
-            for w, mark in whole:
-                if mark and mark not in self.marks:
-                    self.marks[mark] = self._direct(mark)
-                self.words[w] = ids + self.marks[mark] if mark else ids
+        cores = {w for w in words if _LETTERS(w)}
+        shape = {w: m.groups() for w in words - cores if "<|" not in w and (m := _SHAPE(w))}
+        self._direct([w for w in words - cores if w not in shape])
+        parts = self._known({p for m in shape.values() for p in m} - cores - self.words.keys())
+        self._direct([p for p in parts if not p.isalpha()])
+        letters = [*cores, *filter(str.isalpha, parts)]
+        self.words.update(zip(letters, self._plain(letters) if letters else ()))
+        get = self.words.__getitem__
+        self.words.update({w: get(a) + get(b) + get(c) for w, (a, b, c) in shape.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > CACHE:
-            self.words = {"": b""}
+        if len(self.words) > self.cache:
+            self.older, self.words = self.words, {"": b""}
+        # A special token's name is read as it is written, so texts with its beginning keep their case (and such words are whole).
+        texts = [t.lower() if "<|" not in t and (t.isascii() or _SIMPLE(t)) else t for t in texts]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words.keys()
-        new = set().union(*split) - known
+        new = self._known(set().union(*split) - self.words.keys())
         if new:
             self.learn(new)
         get = self.words.__getitem__
@@ -120,7 +135,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
         code = encoder(path)
         while at < len(ids):
             to, total = at, 0
-            while to < len(ids) and total < 1 << 21:
+            while to < len(ids) and total < 1 << 22:
                 total += len(texts[to])
                 to += 1
             for i, x in zip(ids[at:to], code.encode(texts[at:to])):
@@ -132,7 +147,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
         return out
 
     def f(batches):
-        for b in slices(batches, 1024):
+        for b in slices(batches, 2048):
             cols = [list(c) for c in zip(*rows(b))] or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
