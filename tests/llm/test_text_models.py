@@ -117,13 +117,13 @@ def test_gradients_are_those_of_the_loss():
     win, _ = w.windows()
     net, y = toxicity.Network(1), np.array([1.0, 0.0])
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    g, _ = net.gradients(w, net.embed(w).astype(float), win, y)
-    for k in ("Uf", "Wb", "A", "v", "o", "cf"):
+    g, _ = net.gradients(w, win, y, net.embed(w).astype(float))
+    for k in ("U", "W", "A", "v", "o", "c"):
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         ends = []
         for e in (1e-3, -2e-3):
             net.p[k][i] += e
-            ends.append(net.gradients(w, net.embed(w).astype(float), win, y)[1])
+            ends.append(net.gradients(w, win, y, net.embed(w).astype(float))[1])
         assert abs((ends[0] - ends[1]) / 2e-3 - g[k][i]) < 1e-4
 
 
@@ -223,7 +223,8 @@ def test_stages_take_effect(spark, tmp_path):
     rows = labelled(150, 3)
     texts = {i: t for i, t, _ in rows}
     passage = " ".join(f"passage{k}" for k in range(60))
-    rows += [(1000, texts[1] + "  " + texts[2], 0), (1001, texts[1] + " " + texts[2], 0), (1002, "intro one " + passage, 0), (1003, passage + " other end here", 0), (1004, None, 0)]
+    rows += [(1000, texts[1] + "  " + texts[2], 0), (1001, texts[1] + " " + texts[2], 0), (1002, " ".join(f"on{k}er" for k in range(80)) + " " + passage, 0), (1003, passage + " " + " ".join(f"al{k}er" for k in range(80)), 0), (1004, None, 0)]
+    rows += [(1005, "intro one " + passage + " th al th", 0), (1006, "intro one " + passage + " th al on", 0)]  # 62 of 64 five-word strings in common
     docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -234,6 +235,7 @@ def test_stages_take_effect(spark, tmp_path):
     toxic = {i for i, _, y in rows if y}
     assert len(toxic & kept[0].keys()) < 0.1 * len(toxic) and len(kept[0]) > 0.9 * (len(rows) - len(toxic))
     assert 1000 in kept[1] and 1001 not in kept[1]
+    assert 1005 in kept[2] and 1006 in kept[1] and 1006 not in kept[2]
     assert passage not in kept[3][1003].text and passage in kept[3][1002].text and kept[3][1003].n_chars == len(kept[3][1003].text)
     packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept[3])
