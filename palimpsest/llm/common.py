@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +13,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: ASCII white space as the contracts write it.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Text bytes that one chunk aims at. One Python worker holds one chunk at a time.
-CHUNK_BYTES = 8 << 20
+#: Text bytes that one chunk has at least, in a large input. One Python worker holds one chunk at a time.
+CHUNK_BYTES = 4 << 20
+#: Text bytes behind one message of a chunk to a shard, on average, at least.
+MESSAGE_BYTES = 1 << 10
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; only where none is set, a local one."""
+    """Use the session's ``spark.checkpoint.dir``. Where none is set a session within one
+    process (as in tests) gets a folder of its own; a cluster is refused."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
 
 
@@ -32,19 +39,38 @@ def with_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def n_chunks(docs: DataFrame, least: int = 32, size: int = CHUNK_BYTES) -> int:
-    """Chunks of about ``size`` bytes of text; grows in proportion to the input."""
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    return max(least, -(-int(total) // size))
+def n_chunks(docs: DataFrame, least: int = 32, size: int = CHUNK_BYTES, message: int = MESSAGE_BYTES) -> int:
+    """How many chunks of documents. A chunk has ``size`` bytes of text, or more where its
+    messages to all shards (half as many as chunks) would be of less than ``message`` bytes of
+    text: from there on chunks and shards both grow with the square root of the input."""
+    total = int(docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
+    return max(least, -(-total // max(size, isqrt(total * message // 2))))
 
 
-def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    """Deal documents to chunks by a hash of doc_id: copies and hot sources spread evenly."""
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.lit(chunks)).cast("int"))
+def chunked(docs: DataFrame, chunks: int, name: str = "chunk") -> DataFrame:
+    """Deal documents to chunks by a hash of doc_id (and of the text, where there is no id):
+    copies and hot sources spread evenly."""
+    return docs.withColumn(name, F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit("chunk")), F.lit(chunks)).cast("int"))
 
 
 def n_shards(chunks: int) -> int:
-    return int(min(2048, max(16, chunks // 2)))
+    return max(16, chunks // 2)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def split_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, parts: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a ``key``, with the ``count`` of its rows) by key.
+    At most ``parts`` keys can have more than a ``parts``-th of all ``total`` rows; they are
+    broadcast, so no hot key is dealt to one task, and only the others are shuffled."""
+    often = table.filter(F.col(count) > total // parts)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table.filter(F.col(count) <= total // parts), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
 
 
 def slices(batches, rows: int):

@@ -11,7 +11,7 @@ The trie is never in one place. Chunks of documents send their distinct strings
 ``ORDER`` + 1 symbols, with training counts, to shards dealt by the last three symbols of
 the context. A shard has all of such a context's subtree from order three on; orders 0 to 2
 are one table of at most 257^3 counts (some ten thousand in practice), which is gathered
-first. The shard codes each distinct string once and sends the log-probabilities back; a
+first (and broadcast). The shard codes each distinct string once and sends the log-probabilities back; a
 chunk adds them up over its documents. Word counts for the base score travel with them, as
 128-bit hashes. Messages are packed arrays, and the model grows with the corpus while no
 task holds more than a chunk or a shard.
@@ -32,6 +32,7 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import chunked, n_chunks, n_shards, text_bytes
@@ -184,7 +185,7 @@ class Chunk:
         shard = (digest[:, 0] % _U(shards)).astype(np.int64)
         by = np.lexsort((digest[:, 1], shard))
         self.word = [every[i] for i in by.tolist()]
-        self.key = digest[by, 1]
+        self.key = np.ascontiguousarray(digest[by])  # both halves
         self.learned = np.array([learned.get(w, 0) for w in self.word], np.int64)
         self.word_cut = np.searchsorted(shard[by], np.arange(shards + 1))
 
@@ -214,21 +215,23 @@ def _ask(order: int, shards: int):
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their summed counts, and where each given key is among them."""
+    """Distinct keys (rows of one or two numbers), their summed counts, and where each given
+    key is among them."""
     k, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    by = np.argsort(k, kind="stable")  # sorted runs
+    by = np.argsort(k, kind="stable") if k.ndim == 1 else np.lexsort((k[:, 1], k[:, 0]))
     s = k[by]
-    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+    differs = s[1:] != s[:-1]
+    new = np.concatenate([[True], differs if k.ndim == 1 else differs.any(1)]) if len(s) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     at = np.empty(len(k), np.int64)
     at[by] = np.cumsum(new) - 1
     return s[first], np.add.reduceat(n[by], first) if len(s) else n, at
 
 
-def _answer(order: int, low: dict[str, np.ndarray]):
+def _answer(order: int, gathered: Broadcast):
     def f(table: pa.Table) -> pa.Table:
         read = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
-        codes, words = read("codes", _U), read("words", _U)
+        low, codes, words = gathered.value, read("codes", _U), [x.reshape(-1, 2) for x in read("words", _U)]
         asked, n, at = _merge(codes, read("seen", np.uint32))
         trie = levels(asked[n > 0], n[n > 0], low, order)
         score = code_lengths(asked, trie).astype(np.float32)[at]
@@ -314,12 +317,12 @@ def score_documents(docs: DataFrame, train: Column | None = None, order: int = O
     train = ~held_out(F.col("doc_id")) if train is None else train
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
     low = low_counts(docs)
-    chunks = n_chunks(docs, size=5 << 20)  # a chunk's words are Python objects
+    chunks = n_chunks(docs, size=5 << 20, message=64)  # a chunk's words are Python objects
     shards = n_shards(chunks)
     by_chunk = lambda df: df.groupBy("chunk")
     dealt = chunked(docs, chunks)
     asked = by_chunk(dealt).applyInArrow(_ask(order, shards), "shard int, chunk int, codes binary, seen binary, words binary, learned binary")
-    answers = asked.groupBy("shard").applyInArrow(_answer(order, low), "chunk int, shard int, scores binary, counts binary, total long, distinct long")
+    answers = asked.groupBy("shard").applyInArrow(_answer(order, docs.sparkSession.sparkContext.broadcast(low)), "chunk int, shard int, scores binary, counts binary, total long, distinct long")
     return by_chunk(dealt).cogroup(by_chunk(answers)).applyInArrow(_finish(order, shards), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

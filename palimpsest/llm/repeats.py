@@ -15,23 +15,26 @@ exactly the repeated windows. What makes this affordable is that almost no windo
    smallest document is kept, and one bit per window goes back.
 3. Chunks turn bits into removed bytes.
 
-False sharing of fingerprints costs work, never a wrong result: decisions rest on bytes.
+False sharing of fingerprints costs work, never a wrong result: units are told apart by
+their bytes. An answer comes back to the places of its unit within one chunk, by 96 bits of hash.
 Messages between chunks and shards are packed arrays: one row per chunk and shard. Within a
 chunk, equal units are sent once, so a passage that every document has costs one unit a
 chunk.
 
 Null and empty texts, and texts shorter than the window, lose nothing. Rows that share a
-doc_id are not smaller than one another, so they keep what only they share. A null id
-counts as larger than all others. Extra columns are ignored. Very long texts are whole.
+doc_id are not smaller than one another, so they keep what only they share; each is cut by
+its own text. A null id counts as larger than all others. Extra columns may have any names:
+``remove_repeats`` ignores them, ``without_repeats`` gives them back. Very long texts are
+whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame
 
-from .common import chunked, ids_of, mix, n_chunks, n_shards, text_bytes, with_text
+from .common import chunked, free_name, ids_of, mix, n_chunks, n_shards, text_bytes, with_text
 
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1
@@ -136,22 +139,25 @@ class Chunk:
         return view[at - (WINDOW - GRAM)]
 
 
-def unit_hashes(units: np.ndarray) -> np.ndarray:
+def unit_hashes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of hash, and 32 bits of another."""
     n = len(units)
     wide = np.zeros((n, -(-UNIT // 8) * 8), np.uint8)
     wide[:, :UNIT] = units
-    h = np.full(n, _U(0x243F6A8885A308D3))
+    h, g = np.full(n, _U(0x243F6A8885A308D3)), np.full(n, _U(0x13198A2E03707344))
     for c in wide.view(_U).T:
         h = (h ^ c) * _U(0x9FB21C651E98DF25)
         h ^= h >> _U(35)
-    return mix(h)
+        g = (g + c) * _U(0xC2B2AE3D27D4EB4F)
+        g ^= g >> _U(31)
+    return mix(h), (mix(g) >> _U(32)).astype(np.uint32)
 
 
 def _split(sorted_shard: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(sorted_shard, np.arange(shards + 1))
 
 
-def _ask(shards: int):
+def _ask(shards: int, name: str):
     """Chunk -> shards: the selected strings' fingerprints."""
 
     def f(table: pa.Table) -> pa.Table:
@@ -161,7 +167,7 @@ def _ask(shards: int):
         fp = (key & 0xFFFFFFFF).astype(np.uint32)
         return pa.table({
             "shard": pa.array(range(shards), pa.int32()),
-            "chunk": pa.array([table["chunk"][0].as_py()] * shards, pa.int32()),
+            "chunk": pa.array([table[name][0].as_py()] * shards, pa.int32()),
             "fps": pa.array([fp[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
             "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
         })
@@ -186,7 +192,7 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"], "shard": table["shard"], "bits": pa.array([np.packbits(flags[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
-def _send(shards: int):
+def _send(shards: int, name: str):
     """Chunk + bits -> shards: distinct units of shared strings, each with its smallest id."""
 
     def f(docs: pa.Table, bits: pa.Table) -> pa.Table:
@@ -200,27 +206,26 @@ def _send(shards: int):
             shared[cut[s] : cut[s + 1]] = np.unpackbits(np.frombuffer(x, np.uint8))[: cut[s + 1] - cut[s]]
         take = order[np.repeat(shared, np.diff(np.append(first, len(order))))]
         units = c.units(c.at[take])
-        h = unit_hashes(units)
+        h, check = unit_hashes(units)
         shard, _ = c.keys(shards)
         shard, owner = shard[take], c.ids[c.doc[take]]
-        best = np.lexsort((owner, h, shard))
-        sh, hh = shard[best], h[best]
-        one = best[np.concatenate([[True], (hh[1:] != hh[:-1]) | (sh[1:] != sh[:-1])])] if len(best) else best
+        best = np.lexsort((owner, check, h, shard))
+        sh, hh, as_bytes = shard[best], h[best], np.ascontiguousarray(units).view(f"V{UNIT}").reshape(-1)[best]
+        # Of equal units the one of the smallest id; of equal hashes with other bytes, all.
+        one = best[np.concatenate([[True], (hh[1:] != hh[:-1]) | (sh[1:] != sh[:-1]) | (as_bytes[1:] != as_bytes[:-1])])] if len(best) else best
         cut = _split(shard[one], shards)
         rows = [one[a:b] for a, b in zip(cut[:-1], cut[1:])]
         full = [s for s in range(shards) if len(rows[s])]
+        packed = lambda x: pa.array([x[rows[s]].tobytes() for s in full], pa.binary())
         return pa.table({
-            "shard": pa.array(full, pa.int32()),
-            "chunk": pa.array([docs["chunk"][0].as_py()] * len(full), pa.int32()),
-            "units": pa.array([units[rows[s]].tobytes() for s in full], pa.binary()),
-            "hashes": pa.array([h[rows[s]].tobytes() for s in full], pa.binary()),
-            "owners": pa.array([owner[rows[s]].tobytes() for s in full], pa.binary()),
-        }, schema=_UNITS)
+            "shard": pa.array(full, pa.int32()), "chunk": pa.array([docs[name][0].as_py()] * len(full), pa.int32()),
+            "units": packed(units), "hashes": packed(h), "checks": packed(check), "owners": packed(owner),
+        }, schema=_UNITS)
 
     return f
 
 
-_UNITS = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("units", pa.binary()), ("hashes", pa.binary()), ("owners", pa.binary())])
+_UNITS = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), *((c, pa.binary()) for c in ("units", "hashes", "checks", "owners"))])
 
 
 def _classes(group: np.ndarray) -> np.ndarray:
@@ -286,40 +291,52 @@ def _sort(table: pa.Table) -> pa.Table:
     first = window_owners(units[one], owners[one])[which] < owners[:, None]
     valid = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros((len(units), 1), np.int32), np.cumsum(units == PAD, 1, dtype=np.int32)], 1), WINDOW + 1, axis=1)
     valid = valid[:, :, -1] == valid[:, :, 0]
-    weight = np.int64(1) << np.arange(SPAN, dtype=np.int64)
-    early, valid = (first & valid) @ weight, valid @ weight
+    weight = np.uint32(1) << np.arange(SPAN, dtype=np.uint32)
+    early, valid = (first & valid) @ weight, valid @ weight  # SPAN bits each
     cut = np.concatenate([[0], np.cumsum([len(x) for x in hashes])])
     pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
-    return pa.table({"chunk": table["chunk"], "hashes": table["hashes"], "owners": table["owners"], "early": pack(early), "valid": pack(valid)})
+    return pa.table({"chunk": table["chunk"], "hashes": table["hashes"], "checks": table["checks"], "owners": table["owners"], "early": pack(early), "valid": pack(valid)})
 
 
-def _finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    if not docs.num_rows:
-        return _OUT.empty_table()
-    c = Chunk(docs)
+def _gone(c: Chunk, answers: pa.Table) -> np.ndarray:
+    """Which bytes of a chunk's buffer go."""
     covered = np.zeros(len(c.buf) + 1, np.int32)
     if answers.num_rows and len(c.at):
         col = lambda n, t: np.concatenate([np.frombuffer(x, t) for x in answers[n].to_pylist()])
-        h, owner, early, valid = col("hashes", _U), col("owners", np.int64), col("early", np.int64), col("valid", np.int64)
-        order = np.argsort(h)
-        h, owner, early, valid = h[order], owner[order], early[order], valid[order]
-        step = 1 << 17
+        h, check, owner, early, valid = col("hashes", _U), col("checks", np.uint32), col("owners", np.int64), col("early", np.uint32), col("valid", np.uint32)
+        order = np.lexsort((check, h))
+        h, check, owner, early, valid = h[order], check[order], owner[order], early[order], valid[order]
+        step, after = 1 << 17, np.append(h[1:], ~h[-1])
         for a in range(0, len(c.at), step):
             at = c.at[a : a + step]
-            own = unit_hashes(c.units(at))
+            own, own_check = unit_hashes(c.units(at))
             i = np.minimum(np.searchsorted(h, own), len(h) - 1)
-            hit = np.flatnonzero(h[i] == own)
+            while len(again := np.flatnonzero((h[i] == own) & (check[i] < own_check) & (np.append(h[1:], ~h[-1])[i] == own))):
+                i[again] += 1  # the same 64 bits, another unit
+            hit = np.flatnonzero((h[i] == own) & (check[i] == own_check))
             i, p = i[hit], at[hit]
             bits = np.where(c.ids[c.doc[a : a + step][hit]] > owner[i], valid[i], early[i])
             for j in range(SPAN):
                 covered[p[(bits >> j) & 1 == 1] - (WINDOW - GRAM) + j] = 1
     total = np.cumsum(covered)
-    gone = total[:-1] - np.concatenate([np.zeros(WINDOW, total.dtype), total[: -1 - WINDOW]]) > 0
+    return total[:-1] - np.concatenate([np.zeros(WINDOW, total.dtype), total[: -1 - WINDOW]]) > 0
+
+
+def _runs(gone: np.ndarray) -> list[list[int]]:
+    """(start, end) of each run of removed bytes."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2).tolist()
+
+
+def _report(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    """Rows of ``remove_repeats``."""
+    if not docs.num_rows:
+        return _OUT.empty_table()
+    c = Chunk(docs)
+    gone = _gone(c, answers)
     spans, kept, removed = [], [], []
     for s, n in zip(c.start.tolist(), c.size.tolist()):
         g = gone[s : s + n]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-        spans.append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
+        spans.append([{"start": a, "end": b} for a, b in _runs(g)])
         removed.append(int(g.sum()))
         kept.append(c.buf[s : s + n][~g].tobytes() if removed[-1] else c.buf[s : s + n].tobytes())
     ids = docs["doc_id"].combine_chunks().take(pa.array(c.order))
@@ -332,44 +349,52 @@ def _finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, spans (removed runs of bytes), kept (bytes left)."""
-    docs = with_text(docs)
+def _cut(names: list[str]):
+    """The rows themselves, with texts cut and n_chars counted anew."""
+
+    def f(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return docs.select(names)
+        c = Chunk(docs)
+        gone = _gone(c, answers)
+        texts, sizes = docs["text"].to_pylist(), docs["n_chars"].to_pylist() if "n_chars" in names else None
+        for k, s, n in zip(c.order.tolist(), c.start.tolist(), c.size.tolist()):
+            if gone[s : s + n].any():
+                texts[k] = _without(c.buf[s : s + n].tobytes(), _runs(gone[s : s + n]))
+            if sizes is not None:
+                sizes[k] = None if texts[k] is None else len(texts[k])
+        new = {"text": texts} | ({} if sizes is None else {"n_chars": sizes})
+        return pa.table([pa.array(new[n], docs.schema.field(n).type) if n in new else docs[n] for n in names], names=names)
+
+    return f
+
+
+def _in_chunks(docs: DataFrame, finish, schema) -> DataFrame:
+    """The three rounds of messages over ``docs`` (doc_id, text and what ``finish`` needs)."""
     chunks = n_chunks(docs)
-    shards = n_shards(chunks)
-    dealt = chunked(docs, chunks)
-    by_chunk = lambda df: df.groupBy("chunk")
-    asked = by_chunk(dealt).applyInArrow(_ask(shards), "shard int, chunk int, fps binary, several binary")
+    shards, name = n_shards(chunks), free_name("chunk", docs.columns)
+    by_chunk = chunked(docs, chunks, name).groupBy(name)
+    asked = by_chunk.applyInArrow(_ask(shards, name), "shard int, chunk int, fps binary, several binary")
     bits = asked.groupBy("shard").applyInArrow(_shared, "chunk int, shard int, bits binary")
-    sent = by_chunk(dealt).cogroup(by_chunk(bits)).applyInArrow(_send(shards), "shard int, chunk int, units binary, hashes binary, owners binary")
-    answers = sent.groupBy("shard").applyInArrow(_sort, "chunk int, hashes binary, owners binary, early binary, valid binary")
-    return by_chunk(dealt).cogroup(by_chunk(answers)).applyInArrow(_finish, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(_send(shards, name), "shard int, chunk int, units binary, hashes binary, checks binary, owners binary")
+    answers = sent.groupBy("shard").applyInArrow(_sort, "chunk int, hashes binary, checks binary, owners binary, early binary, valid binary")
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+
 
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, spans (removed runs of bytes), kept (bytes left)."""
+    return _in_chunks(with_text(docs), _report, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated windows cut from their texts, n_chars anew (for the pipeline).
-    A character goes if all of its bytes do, so texts stay valid UTF-8."""
-    cut = remove_repeats(docs).filter("n_removed > 0").groupBy("doc_id").agg(F.collect_list(F.struct("n_bytes", "spans")).alias("cuts"))
-    cut = cut.select(F.col("doc_id").alias("cut_id"), "cuts")
-
-    def f(batches):
-        for b in batches:
-            out = []
-            for text, cuts in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist()):
-                data = (text or "").encode()
-                spans = next((c["spans"] for c in cuts or () if c["n_bytes"] == len(data)), None)
-                out.append(text if spans is None else _without(data, [(x["start"], x["end"]) for x in spans]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out, pa.string()) if n == "text" else pa.array([None if t is None else len(t) for t in out], pa.int64()) if n == "n_chars" else b.column(n) for n in names], names=names
-            )
-
-    names = docs.columns
-    schema = T.StructType([T.StructField(f.name, T.LongType()) if f.name == "n_chars" else f for f in docs.schema.fields])
-    return docs.join(cut, docs.doc_id.eqNullSafe(cut.cut_id), "left").drop("cut_id").mapInArrow(f, schema)
-
-
-def _without(data: bytes, spans: list[tuple[int, int]]) -> str:
+    """``docs``, all columns, with repeated windows cut from their texts and n_chars counted
+    anew (for the pipeline). A character goes if all of its bytes do, so texts stay valid
+    UTF-8. Every row stays, null texts stay null, and rows with equal or no doc_id are cut by
+    their own texts."""
+    return _in_chunks(docs, _cut(docs.columns), docs.schema)
+
+
+def _without(data: bytes, spans: list[list[int]]) -> str:
     kept, at = [], 0
     for a, b in spans:
         while a < b and data[a] & 0xC0 == 0x80:
