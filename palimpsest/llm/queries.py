@@ -89,7 +89,7 @@ with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines fro
 l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos from d),
 k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
 often as (select key, max(doc_id) as last_id from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
-j as (select k.doc_id, k.pos, k.line, o.key is not null and k.doc_id <> o.last_id as gone from k left join often o using (key))
+j as (select k.doc_id, k.pos, k.line, o.key is not null and k.doc_id is distinct from o.last_id as gone from k left join often o using (key))
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from j group by doc_id

@@ -37,8 +37,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, components, connected_components, mix, slices, text_bytes, with_text
-from .exact_dedup import may_contain
+from .common import checkpoint, components, connected_components, mix, slices, split_hot, text_bytes, with_text
+from .exact_dedup import filter_words, may_contain
 
 RADIUS = 4
 SEED = 42
@@ -99,9 +99,7 @@ def choose_segments(n: int, radius: int) -> int:
     choice finds all links; each keeps balls of one bit or more."""
 
     def cost(count: int) -> float:
-        width, reach = 64 / count, radius // count
-        rows = count * sum(comb(round(width), d) for d in range(reach + 1)) / 2
-        return rows * (1 + 0.02 * n / 2**width)
+        return entries_each(count, radius) * (1 + 0.02 * n / 2 ** (64 / count))
 
     return min(range(2, radius + 1), key=cost)
 
@@ -185,17 +183,23 @@ def _verify(radius: int, both: int):
 _ENTRY = "cell long, fp long, more long, node long, member boolean"
 
 
+def entries_each(count: int, radius: int) -> float:
+    """Table entries and lookups of one fingerprint, on average."""
+    width, reach = 64 / count, radius // count
+    return count * (1 + sum(comb(round(width), d) for d in range(1, reach + 1)) / 2)
+
+
 def links(points: DataFrame, radius: int = RADIUS, both: int = 128, cell: int = CELL) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints differ by ``radius`` bits or fewer, and
     by ``both`` with the second ones: enough edges to connect all that are linked.
     points: distinct (fp, more, node)."""
     n = points.count()
     count = choose_segments(n, radius)
-    return _meet(points.mapInArrow(_entries(count, radius), _ENTRY), n, radius, both, cell)
+    return _meet(points.mapInArrow(_entries(count, radius), _ENTRY), int(n * entries_each(count, radius)), radius, both, cell)
 
 
 def _meet(entries: DataFrame, n: int, radius: int, both: int, cell: int = CELL) -> DataFrame:
-    """Edges between the entries of a cell, of ``n`` fingerprints."""
+    """Edges between the ``n`` entries of all cells, within each cell."""
     crowded = entries.filter("member").groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > cell)
     crowded = crowded.select("cell", F.ceil(F.col("members") / cell).cast("int").alias("blocks"))
     met = entries.join(crowded, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -203,7 +207,7 @@ def _meet(entries: DataFrame, n: int, radius: int, both: int, cell: int = CELL)
     block = F.pmod(F.xxhash64("fp", "more", F.lit("block")), F.col("blocks")).cast("int")
     met = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("fp", "more", "node", "member", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
-    shards = int(max(32, n * 40 // 200_000))
+    shards = int(max(32, n // 200_000))
     return met.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_verify(radius, both), "a long, b long")
 
 
@@ -215,8 +219,10 @@ def _classes(docs: DataFrame, radius: int, width: int, both: int | None) -> Data
     """Per row: doc_id, key, fp, node (one for each fingerprint) and root (of the node's class)."""
     rows = checkpoint(fingerprints(_keyed(docs), width, both is not None, "key"))
     rows = rows.withColumn("node", F.col("fp") if both is None else F.xxhash64("fp", "more"))
-    roots = connected_components(links(rows.select("fp", "more", "node").distinct(), radius, 128 if both is None else both))
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    points = checkpoint(rows.groupBy("fp", "more", "node").agg(F.count("*").alias("members")))
+    roots = connected_components(links(points.drop("members"), radius, 128 if both is None else both))
+    roots = points.join(roots, "node", "left").select("node", "members", F.coalesce("root", "node").alias("root"))
+    return split_hot(rows, checkpoint(roots), "node", "members", rows.count()).drop("members")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4, both: int | None = None) -> DataFrame:
@@ -224,8 +230,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 4, both:
 
     ``both``: the bits that may differ in the fingerprint and a second one together."""
     rows = _classes(docs, radius, width, both)
-    low = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(low, "root").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    rows = checkpoint(rows.select("doc_id", "fp", "root"))
+    low = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    rows = split_hot(rows, checkpoint(low), "root", "members", rows.count())
+    return rows.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -340,16 +348,16 @@ def similar_classes(docs: DataFrame, width: int, similar: tuple[int, int], block
     """Per row: doc_id, key, node (one for a set of shingles) and root (of the node's class)."""
     rows = checkpoint(with_text(_keyed(docs), "key").mapInArrow(_sketches(width), "doc_id long, key long, node long, fp long, more long, size long, cells binary"))
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    points = rows.groupBy("node").agg(F.min(id_).alias("one"), *(F.first(c).alias(c) for c in ("fp", "more", "size", "cells")))
+    points = rows.groupBy("node").agg(F.min(id_).alias("one"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("fp", "more", "size", "cells")))
     entries = points.select("fp", "more", "node", "cells").mapInArrow(_segment_entries, _ENTRY)
-    near = connected_components(_meet(entries, rows.count(), 64, CANDIDATE_BITS))
+    near = connected_components(_meet(entries, rows.count() * SEEDS * CUTS, 64, CANDIDATE_BITS))
     near = near.union(near.select("root", "root").distinct())
     # A set of candidates is compared in one task if it is small; else dealt in blocks, of which each pair meets.
     near = near.join(points.select("node", "one", "size"), "node")
     of = near.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / block_shingles), F.lit(1)).cast("int").alias("blocks"))
     near = checkpoint(near.join(of, "root").select("node", "root", "blocks", "size", F.col("one.doc_id").alias("i"), F.col("one.key").alias("digest")))
     weight = near.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
-    texts = may_contain(with_text(_keyed(docs), "key").withColumnRenamed("key", "digest"), near)
+    texts = may_contain(with_text(_keyed(docs), "key").withColumnRenamed("key", "digest"), near, filter_words(near.count()))
     texts = texts.withColumnRenamed("digest", "d").join(near, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("d") == F.col("digest")))
     sets = texts.select("node", "root", "blocks", "text").mapInArrow(_sets(width), "node long, root long, blocks int, held binary")
     mine = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
@@ -357,7 +365,8 @@ def similar_classes(docs: DataFrame, width: int, similar: tuple[int, int], block
     sets = sets.select("node", "held", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
     shards = int(max(32, weight >> 20))
     edges = sets.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_compare(similar), "a long, b long")
-    return rows.select("doc_id", "key", "node").join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = points.select("node", "members").join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return split_hot(rows.select("doc_id", "key", "node"), checkpoint(roots), "node", "members", rows.count()).drop("members")
 
 
 def _first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -365,15 +374,17 @@ def _first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "key")
     first = rows.groupBy("root", id_.alias("one")).count().groupBy("root").agg(F.min(F.struct("one", "count")).alias("m"))
     stay = checkpoint(first.select(F.col("m.one.doc_id").alias("stay_id"), F.col("m.one.key").alias("stay_key"), F.col("m.count").alias("copies")))
-    own = _keyed(docs)
-    out = own.join(stay, own.doc_id.eqNullSafe(stay.stay_id) & (own.key == stay.stay_key), "left_semi")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_key"))
+    out = own.join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("own_key") == F.col("stay_key")), "left_semi")
     if not stay.filter("copies > 1").isEmpty():  # rows of equal doc_id and text
-        out = out.dropDuplicates(["doc_id", "key"])
-    return out.select(*docs.columns)
+        out = out.dropDuplicates(["own_id", "own_key"])
+    return out.select("row.*")
 
 
 def keep_one(docs: DataFrame, radius: int | None = None, width: int = 5, both: int | None = None, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each class (for the pipeline).
+    """The rows of ``docs`` that stay, with all their columns: of each class one row of the
+    smallest doc_id (for the pipeline). Nulls, repeated rows, extra columns and empty tables
+    as the module's text has it.
 
     Classes are connected by pairs whose sets of shingles are ``similar``; with a ``radius``,
     by fingerprints alone, as ``near_duplicates`` has them."""

@@ -80,12 +80,79 @@ def test_exact_duplicates_match_brute_force(spark):
     assert exact_dedup.exact_duplicates(table(spark, [])).count() == 0
 
 
-def test_index_runs_compact_to_the_smallest_id(spark):
-    d = lambda rows: exact_dedup.digests(table(spark, rows))
-    a, b = exact_dedup.flush(d([(5, "x"), (6, "y")])), exact_dedup.flush(d([(2, "x"), (9, "z"), (9, "z")]))
-    got = {(r.keep_id, r.group_size) for r in exact_dedup.compact(a, b).collect()}
-    assert got == {(2, 2), (6, 1), (9, 2)}
-    assert {r.doc_id for r in exact_dedup.may_contain(d([(1, "x"), (2, "absent")]), b).collect()} == {1}
+def entries(spark, rows):
+    return spark.createDataFrame(rows, "run int, doc_id long, digest string")
+
+
+def test_five_runs_compact_to_the_smallest_id(spark):
+    """Runs keep their own rows until levels of two merge them, through three levels."""
+    rows = [(0, 5, "x"), (0, 6, "y"), (1, 2, "x"), (1, 9, "z"), (1, 9, "z"), (2, 8, "x"), (3, 1, "w"), (4, 7, "y"), (4, 0, "v")]
+    runs = exact_dedup.flush(entries(spark, rows))
+    assert {(r.run, r.digest, r.keep_id, r.group_size) for r in runs.collect()} == {(0, "x", 5, 1), (0, "y", 6, 1), (1, "x", 2, 1), (1, "z", 9, 2), (2, "x", 8, 1), (3, "w", 1, 1), (4, "y", 7, 1), (4, "v", 0, 1)}
+    want = {("x", 2, 3), ("y", 6, 2), ("z", 9, 2), ("w", 1, 1), ("v", 0, 1)}
+    assert set(map(tuple, exact_dedup.compact(runs, 5, 2).collect())) == want
+    words = exact_dedup.filter_words(9)
+    passed = exact_dedup.passing(runs, exact_dedup.shared_filter(runs, words), words, keep=True)
+    assert {"x", "y"} <= {r.digest for r in passed.collect() if r.passes} and {r.digest for r in passed.collect() if not r.passes} & {"z", "w", "v"}
+    index = exact_dedup.build_index(entries(spark, rows).drop("run").repartition(4), 9, memtable=2, fan=2)
+    assert sorted(map(tuple, index.collect())) == sorted(want)
+    assert {r.digest for r in exact_dedup.may_contain(entries(spark, rows), runs.filter("run = 4"), words).collect()} >= {"y", "v"}
+
+
+def test_levels_merge_without_another_shuffle(spark):
+    runs = spark.createDataFrame([(r, i, f"{i}") for r in range(5) for i in range(20)], "run int, keep_id long, digest string").selectExpr("run", "digest", "keep_id", "1L as group_size")
+    out = exact_dedup.compact(runs, 64, 4)
+    out.collect()
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange ") == 1
+
+
+def test_colliding_digests_give_classes_by_text(spark):
+    """A digest of one character: texts that share it are told apart, and no row is lost."""
+    rows = corpus() + [(7, "again"), (None, "b"), (None, "b"), (None, "c")]
+    weak = exact_dedup.exact_duplicates(table(spark, rows), key=lambda sha: F.substring(F.hex(sha), 1, 1))
+    assert sorted(map(str, weak.collect())) == sorted(map(str, exact_dedup.exact_duplicates(table(spark, rows)).collect()))
+    assert weak.count() == len(rows)
+
+
+def test_rows_that_stay_keep_their_columns(spark):
+    """Null and shared ids, columns with the operators' own names, empty tables."""
+    p, q = "a passage that is surely longer than fifty bytes, so that it repeats", " and some more that no other text has at all"
+    schema = "doc_id long, text string, n_chars int, own_sha string, row string, cuts string, cut_id long, chunk int, key string, digest string, stay_id long"
+    rows = [(i, t, None, f"own{k}", "row", "cut", k, k, "key", None, 5) for k, (i, t) in enumerate([(5, p), (5, p + q), (None, "x" + p), (None, None), (None, "alone"), (6, "alone"), (6, "other"), (7, None)])]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    cut = {r.cut_id: r for r in repeats.without_repeats(docs).collect()}
+    assert [cut[k].text for k in range(8)] == [p, p + q, "x", None, "alone", "alone", "other", None]
+    assert all(tuple(cut[k])[3:] == rows[k][3:] and cut[k].n_chars == (None if cut[k].text is None else len(cut[k].text)) for k in cut)
+    stay = exact_dedup.keep_first(docs)
+    assert stay.columns == docs.columns and sorted(r.cut_id for r in stay.collect()) == [0, 1, 2, 5, 6, 7]
+    assert all(tuple(r) == rows[r.cut_id] for r in stay.collect())
+    twice = exact_dedup.keep_first(docs.union(docs))
+    assert sorted(r.cut_id for r in twice.collect()) == [0, 1, 2, 5, 6, 7]
+    for operator in (repeats.without_repeats, exact_dedup.keep_first):
+        assert operator(docs.limit(0)).collect() == [] and operator(docs.limit(0)).columns == docs.columns
+
+
+def test_equal_hashes_of_units_do_not_mix_them(spark, monkeypatch):
+    """With hashes of units that often agree, decisions still rest on bytes."""
+    rows = corpus()[60:110]
+    before = repeats.unit_hashes
+
+    def weak(units):
+        h, check = before(units)
+        return h % repeats._U(7), check
+
+    monkeypatch.setattr(repeats, "unit_hashes", weak)
+    shards, c = 4, None
+    import pyarrow as pa
+
+    tables = [pa.table({"doc_id": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([t for _, t in part], pa.string()), "chunk": pa.array([k] * len(part), pa.int32())}) for k, part in enumerate((rows[::2], rows[1::2]))]
+    asked = pa.concat_tables([repeats._ask(shards, "chunk")(t) for t in tables])
+    of = lambda t, name, x: t.filter(pa.compute.equal(t[name], x))
+    bits = pa.concat_tables([repeats._shared(of(asked, "shard", s)) for s in range(shards)])
+    sent = pa.concat_tables([repeats._send(shards, "chunk")(t, of(bits, "chunk", k)) for k, t in enumerate(tables)])
+    answers = pa.concat_tables([repeats._sort(of(sent, "shard", s)) for s in range(shards) if of(sent, "shard", s).num_rows])
+    got = pa.concat_tables([repeats._report(t, of(answers, "chunk", k)) for k, t in enumerate(tables)]).to_pylist()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got) == brute_repeats(rows)
 
 
 def test_colliding_digests_are_found(spark):
@@ -97,20 +164,24 @@ def brute_lines(rows, min_docs=3, min_chars=20):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda x: x.strip(" \t\n\v\f\r").translate(fold)
     holders = {}
-    for n, (i, t) in enumerate(rows):
+    for i, t in rows:
         for x in (t or "").split("\n"):
-            holders.setdefault(key(x), {})[n] = i
+            holders.setdefault(key(x), set()).update([] if i is None else [i])
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if len(key(x)) < min_chars or len(holders[key(x)]) < min_docs or max(holders[key(x)].values()) == i]
+        kept = [x for x in lines if len(key(x)) < min_chars or len(holders[key(x)]) < min_docs or max(holders[key(x)]) == i]
         out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def test_lines_match_brute_force(spark):
-    rows = corpus()
-    assert sorted(map(tuple, line_dedup.drop_repeated_lines(table(spark, rows)).collect())) == brute_lines(rows)
+    """Documents are counted by their ids; a row without one counts as none."""
+    line = "a line of more than twenty characters"
+    rows = corpus() + [(600, line), (600, line + "\n" + line), (601, "  " + line.upper()), (None, line + "\nb"), (None, line + " again"), (None, line + " again"), (602, line + " again")]
+    assert sorted(map(tuple, line_dedup.drop_repeated_lines(table(spark, rows)).collect()), key=str) == brute_lines(rows)
+    rows += [(603, line), (603, line)]
+    assert sorted(map(tuple, line_dedup.drop_repeated_lines(table(spark, rows)).collect()), key=str) == brute_lines(rows)
     assert line_dedup.drop_repeated_lines(table(spark, [])).count() == 0
 
 
