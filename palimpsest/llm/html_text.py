@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,10 @@ CLOSED_BY_BLOCK = frozenset(BLOCKS - frozenset("li dd dt td th tr tbody thead tf
 SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SIBLINGS.items()}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|([^<]+|<)""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+SPECIAL = re.compile("[\"'>]")
+#: Attributes without quotes that hide a tag's end: the usual case, in one step.
+SIMPLE = re.compile(r"""[^"'<>]*(?:"[^"<>]*"[^"'<>]*|'[^'<>]*'[^"'<>]*)*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s"'=<>/]+)""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 #: An article that holds all of a page's score multiplies its blocks' scores by one more than this, and divides those of others.
@@ -75,94 +80,182 @@ def _marked(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, int, int, bool]]:
-    """(path, text, characters in links, innermost article's number or 0, marked) of each block in page order."""
-    out: list[tuple[str, str, int, int, bool]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, article, marked
-    articles = 0
+class Block(NamedTuple):
+    path: int  # number of its path of tags
+    text: str
+    linked: int  # characters in links
+    article: int  # the innermost article's number, or 0
+    marked: bool
+    above: int  # number of the path without the last tag
+    tag: str  # the last tag
+
+
+class _Open(NamedTuple):
+    """An element that is open."""
+
+    tag: str
+    path: int
+    article: int
+    marked: bool
+    block: int  # place of the innermost block element in the stack, itself included; or -1
+    links: int  # a elements that are open, itself included
+    fence: int  # place of the innermost table, td or th; or -1
+
+
+class _Tokens:
+    """Tags, and the text between, of a page from left to right; linear in its length."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.ends: dict[int, int] = {}  # where a tag ends, seen from a quote or > outside of quotes
+        self.gap = (0, -1)  # a place, and the next quote or > after it
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag, with quotes heeded; without, where they never close; or -1."""
+        page = self.page
+        if at > self.last:
+            return -1
+        seen, p, end = [], at, -1
+        while True:
+            if not self.gap[0] <= p <= self.gap[1]:
+                m = SPECIAL.search(page, p)
+                self.gap = (p, m.start() if m else len(page))
+            s = self.gap[1]
+            if s == len(page):
+                break
+            if s in self.ends:
+                end = self.ends[s]
+                break
+            seen.append(s)
+            if page[s] == ">":
+                end = s
+                break
+            shut = page.find(page[s], s + 1)
+            if shut < 0:
+                break
+            p = shut + 1
+        for s in seen:
+            self.ends[s] = end
+        return end if end >= 0 else page.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(text, "", ""), or ("", a tag's name with / for an end tag, attributes)."""
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            lt = page.find("<", at)
+            if lt != at:
+                yield page[at : lt if lt >= 0 else size], "", ""
+                if lt < 0:
+                    return
+                at = lt
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = end + 3 if end >= 0 else size
+                continue
+            if at + 1 < size and page[at + 1] in "!?" and at < self.last:
+                at = page.find(">", at) + 1
+                continue
+            m = NAME.match(page, at + 1)
+            if m is not None:
+                simple = SIMPLE.match(page, m.end()) if len(self.ends) < 64 else None  # a page that is often odd goes the long way
+                end = simple.end() - 1 if simple else self.tag_end(m.end())
+                if end >= 0:
+                    tag, at = m[2].lower(), end + 1
+                    yield "", m[1] + tag, page[m.end() : end]
+                    if not m[1] and tag in RAW:
+                        at = self.after_raw(tag, at)
+                    continue
+            elif page.startswith("</", at) and at < self.last:  # a stray end
+                at = page.find(">", at) + 1
+                continue
+            yield "<", "", ""
+            at += 1
+
+    def after_raw(self, tag: str, at: int) -> int:
+        """The place after an element whose content isn't read."""
+        shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.page.find(">", shut.end()) if shut else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+
+def blocks(page: str) -> list[Block]:
+    """The texts between block boundaries, in page order."""
+    out: list[Block] = []
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of each tag's open elements in the stack
+    paths: dict[tuple[int, str], int] = {}
+    above: list[tuple[int, str]] = [(0, "")]  # of each path: the path above, and the last tag
+    articles = linked = 0
     parts: list[str] = []
-    linked, place, at, end = 0, ("", 0, False), 0, len(page)
+    place: tuple[int, int, bool] = (0, 0, False)
 
     def flush():
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((place[0], text, linked, place[1], place[2]))
+                out.append(Block(place[0], text, linked, place[1], place[2], *above[place[0]]))
         parts, linked = [], 0
 
     def close(i: int):
-        if any(t in BLOCKS for t, _, _ in stack[i:]):
+        if stack[-1].block >= i:
             flush()
+        for e in stack[i:]:
+            places[e.tag].pop()
         del stack[i:]
 
-    while at < end:
-        m = TOKEN.match(page, at)
-        if m is None:  # not reached: the last alternative takes any character
-            break
-        at = m.end()
-        if m[7] is not None:
-            text = html.unescape(m[7]) if "&" in m[7] else m[7]
+    def latest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    for piece, tag, attributes in _Tokens(page):
+        top = stack[-1] if stack else _Open("", 0, 0, False, -1, 0, -1)
+        if not tag:
             if not parts:
-                if text.isspace():
+                if piece.isspace():
                     continue
-                place = ("/".join([t for t, _, _ in stack]), stack[-1][1] if stack else 0, stack[-1][2] if stack else False)
-                keep = 0
-                for k, (t, _, _) in enumerate(stack):
-                    keep = k + 1 if t in BLOCKS else keep
-                place = ("/".join([t for t, _, _ in stack[:keep]]), place[1], stack[keep - 1][2] if keep else False)
-            if stack and stack[-1][2] and not place[2]:
+                block = stack[top.block] if top.block >= 0 else _Open("", 0, 0, False, -1, 0, -1)
+                place = (block.path, top.article, block.marked)
+            if top.marked and not place[2]:
                 continue  # a marked element within a line
+            text = html.unescape(piece) if "&" in piece else piece
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if top.links:
                 linked += len(text.strip())
             continue
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in ("td", "th", "table") and tag not in BLOCKS:
-                    break
+        if tag[0] == "/":
+            i = latest((tag[1:],))
+            if i >= 0 and (tag[1:] in BLOCKS or top.fence <= i):
+                close(i)
             continue
         if tag in ("br", "wbr", "hr"):
             flush() if tag == "hr" else parts and parts.append(" " if tag == "br" else "")
             continue
-        attributes = m[3] or m[6] or ""
         if tag in VOID:
             continue
         if tag in SIBLINGS:
             same, fence = SIBLINGS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in fence:
-                    break
-                if stack[i][0] in same:
-                    close(i)
-                    break
-        if tag in CLOSED_BY_BLOCK:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            i = latest(same)
+            if i > latest(fence):
+                close(i)
+        if tag in CLOSED_BY_BLOCK and stack and stack[-1].block >= 0 and stack[stack[-1].block].tag == "p":
+            close(stack[-1].block)
         if tag in BLOCKS:
             flush()
-        if tag in RAW:
-            shut = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            at = shut.end() if shut else end
-            continue
-        if attributes.rstrip().endswith("/") and tag not in BLOCKS:
+        if tag in RAW or (attributes.rstrip().endswith("/") and tag not in BLOCKS):
             continue
-        within, marked = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-        within_now = within
-        if tag in ("article", "main") or (not within and "articleBody" in attributes):
+        top = stack[-1] if stack else _Open("", 0, 0, False, -1, 0, -1)
+        article = top.article
+        if tag in ("article", "main") or (not article and "articleBody" in attributes):
             articles += 1
-            within_now = articles
-        stack.append((tag, within_now, marked or _marked(tag, attributes, within > 0)))
+            article = articles
+        path = paths.setdefault((top.path, tag), len(above))
+        if path == len(above):
+            above.append((top.path, tag))
+        n = len(stack)
+        places.setdefault(tag, []).append(n)
+        stack.append(
+            _Open(tag, path, article, top.marked or _marked(tag, attributes, top.article > 0), n if tag in BLOCKS else top.block, top.links + (tag == "a"), n if tag in ("td", "th", "table") else top.fence)
+        )
     flush()
     return out
 
@@ -174,35 +267,35 @@ def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(x, kernel, "full")[3 : 3 + len(x)] / weight
 
 
-def select(found: list[tuple[str, str, int, int, bool]], share: float = 0.5) -> list[bool]:
+def select(found: list[Block], share: float = 0.5) -> list[bool]:
     """Which blocks are content, by the fused ratios of their tag paths."""
-    paths: dict[str, list[int]] = {}
-    for i, (path, _, _, _, marked) in enumerate(found):
-        if not marked:
-            paths.setdefault(path, []).append(i)
-    chars = [len(t) for _, t, _, _, _ in found]
-    stops = [len(PUNCTUATION.findall(t)) for _, t, _, _, _ in found]
+    paths: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if not b.marked:
+            paths.setdefault(b.path, []).append(i)
+    open_ = [i for at in paths.values() for i in at]
+    if not open_:
+        return [False] * len(found)
+    chars = [len(b.text) for b in found]
+    stops = [len(PUNCTUATION.findall(b.text)) for b in found]
     length, stop, links = np.zeros(len(found)), np.zeros(len(found)), np.zeros(len(found))
     for at in paths.values():
         total = sum(chars[i] for i in at)
         length[at] = total / len(at)
         stop[at] = sum(stops[i] for i in at) / len(at)
-        links[at] = min(1.0, sum(found[i][2] for i in at) / total)
+        links[at] = min(1.0, sum(found[i].linked for i in at) / total)
     fused = smooth(np.log1p(length)) * np.sqrt(FLOOR + smooth(np.log1p(stop))) * (1 - links)
-    open_ = [i for at in paths.values() for i in at]
-    if not open_:
-        return [False] * len(found)
     bar = share * float(np.average(fused[open_], weights=[chars[i] for i in open_]))
     # The article factor: each article by its own squared share of the score.
     mass: dict[int, float] = {}
     for i in open_:
-        mass[found[i][3]] = mass.get(found[i][3], 0.0) + float(fused[i])
+        mass[found[i].article] = mass.get(found[i].article, 0.0) + float(fused[i])
     total = sum(mass.values()) or 1.0
     gain = {a: 1 + BOOST * (m / total) ** 2 if a else 1.0 for a, m in mass.items()}
     best = max(gain, key=gain.get)
-    groups: dict[tuple[str, int], list[int]] = {}
+    groups: dict[tuple[int, int], list[int]] = {}
     for i in open_:
-        groups.setdefault((found[i][0], found[i][3]), []).append(i)
+        groups.setdefault((found[i].path, found[i].article), []).append(i)
     out = [False] * len(found)
     for (_, a), at in groups.items():
         good = float(fused[at].mean()) * gain[a] / (1.0 if a == best else gain[best]) >= bar
@@ -210,9 +303,8 @@ def select(found: list[tuple[str, str, int, int, bool]], share: float = 0.5) ->
             out[i] = good
     # A heading goes with the text below it in the same element.
     for i in range(len(found) - 2, -1, -1):
-        parent, _, tag = found[i][0].rpartition("/")
-        if tag in HEADINGS and not found[i][4] and not out[i]:
-            out[i] = out[i + 1] and found[i + 1][0].rpartition("/")[0] == parent
+        if found[i].tag in HEADINGS and not found[i].marked and not out[i]:
+            out[i] = out[i + 1] and found[i + 1].above == found[i].above
     return out
 
 
@@ -220,7 +312,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    return "\n\n".join(b[1] for b, good in zip(found, select(found)) if good) if found else ""
+    return "\n\n".join(b.text for b, good in zip(found, select(found)) if good) if found else ""
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -244,3 +244,28 @@ def test_stages_take_effect(spark, tmp_path):
 @pytest.mark.parametrize("n", [39, 41])
 def test_a_letter_is_the_same_at_every_length(n):
     assert quality.measures(["½²Ⅳé" + " ½²Ⅳ" * (n - 1)])[0]["letters"] == 1
+
+
+HOSTILE = {
+    "nested": "<div>a", "quotes": '<a "', "quoted ends": '<a ">"', "declarations": "<!", "script": "</script", "tags": "<a ", "items": "<li>x<b>", "attributes": "<p a", "ends": "</b><i>",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_cost_no_more_than_their_length(name):
+    """A megabyte of each; what is quadratic would take minutes."""
+    import time
+
+    page = "<p>" + BODY + "</p>" + HOSTILE[name] * ((1 << 20) // len(HOSTILE[name])) + '">'
+    start = time.process_time()
+    assert BODY in html_text.extract(page) or name not in ("declarations", "attributes")
+    assert time.process_time() - start < 30
+
+
+def test_paths_choose_without_any_mark(monkeypatch):
+    """No list of names, no article: the ratios of tag paths tell the story from the rest."""
+    monkeypatch.setattr(html_text, "_marked", lambda *_: False)
+    menu = "".join(f"<li><a href='/{k}'>Menu {k}</a></li>" for k in range(12))
+    story = "".join(f"<p>{BODY} It goes on, number {k}.</p>" for k in range(6))
+    got = html_text.extract(f"<body><ul>{menu}</ul><div><div>{story}</div></div><ul>{menu}</ul><span>Copyright</span></body>")
+    assert got.split("\n\n") == [f"{BODY} It goes on, number {k}." for k in range(6)]
