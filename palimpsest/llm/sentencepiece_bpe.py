@@ -3,11 +3,12 @@
 The model's protobuf is parsed here (a few fields of its wire format), and its parts are
 built anew: the normaliser (dummy prefix, white space as U+2581, the rest as the model says),
 pieces with scores (unigram models) or merges ranked by the scores of what they make (BPE
-models), byte fallback, and the decoder. Texts are encoded as runs of words: no piece has
-U+2581 after another character, so what starts at one never joins what stands before it,
-and a chunk's distinct words are encoded once, in multithreaded batches. Each distinct word
-is also encoded by the SentencePiece library, and a document's ``parity`` says whether all
-of its words agree.
+models), byte fallback, and the decoder. Where no piece has U+2581 after another character, what
+starts at one never joins what stands before it; then texts are encoded as runs of words, and
+a chunk's distinct words are encoded once, in multithreaded batches. With other models texts
+are encoded whole. Each whole text is also normalised by the SentencePiece library, and each
+distinct word (or whole text) encoded by it; a document's ``parity`` says whether the
+normalised texts are the same and all of its ids agree.
 
 Null and empty texts have no ids. Repeated rows are encoded each. Extra columns are
 ignored. Texts are whole. An empty table gives an empty result. Decoding gives the
@@ -119,8 +120,6 @@ class Encoder:
 
         with open(path, "rb") as f:
             self.model = Model(f.read())
-        if not self.model.words_apart:
-            raise ValueError("this model has pieces across words; encode whole texts")
         self.tokenizer = build(self.model)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
@@ -138,32 +137,42 @@ class Encoder:
             text = " " + text
         return text.replace(" ", SPACE) if m.escape else text
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """Runs of U+2581, each with the characters up to the next."""
+    def split(self, text: str) -> list[str]:
+        """Runs of U+2581, each with the characters up to the next; or the text as a whole."""
+        if not self.model.words_apart:
+            return [text] if text else []
         return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", text)
 
+    def _own(self, words: list[str]) -> list[list[int]]:
+        """What the library makes of normalised words (or texts)."""
+        if self.model.words_apart:
+            # No piece crosses into a word, so the library's ids after another word are the word's own.
+            first = len(self.library.encode("a"))
+            own = self.library.encode(["a" * w.startswith(SPACE) + w.replace(SPACE, " ") for w in words], num_threads=1)
+            return [o[first:] if w.startswith(SPACE) else o for w, o in zip(words, own)]
+        cut = int(self.model.dummy_prefix)
+        return self.library.encode([w[cut:].replace(SPACE, " ") for w in words], num_threads=1)
+
     def learn(self, words: list[str]) -> None:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        # No piece crosses into a word, so the library's ids after another word are the word's own.
-        first = self.library.encode("a")
-        own = self.library.encode(["a" * w.startswith(SPACE) + w.replace(SPACE, " ") for w in words], num_threads=1)
-        for w, e, o in zip(words, got, own):
-            self.words[w] = np.array(e.ids, "<u4").tobytes(), (first if w.startswith(SPACE) else []) + e.ids == o
+        for w, e, o in zip(words, got, self._own(words)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes(), e.ids == o
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Each text's ids as little-endian 32-bit numbers, and whether all words agree."""
-        if len(self.words) > CACHE:
+        """Each text's ids as little-endian 32-bit numbers, and whether they agree with the library's."""
+        if len(self.words) > CACHE or not self.model.words_apart:
             self.words = {}
-        split = [self.split(self.normalise(t)) for t in texts]
+        normal = [self.normalise(t) for t in texts]
+        same = [n == o for n, o in zip(normal, self.library.normalize(texts))]
+        split = list(map(self.split, normal))
         new = set().union(*split) - self.words.keys()
         if new:
             self.learn(list(new))
         get = self.words.__getitem__
         out = []
-        for s in split:
+        for s, ok in zip(split, same):
             parts = list(map(get, s))
-            out.append((b"".join([p[0] for p in parts]), all([p[1] for p in parts])))
+            out.append((b"".join([p[0] for p in parts]), ok and all([p[1] for p in parts])))
         return out
 
     def pieces_text(self) -> list[bytes]:

@@ -209,6 +209,19 @@ def test_unigram_model_with_scores_and_byte_fallback(tmp_path):
         assert np.frombuffer(e.encode([t])[0][0], "<u4").tolist() == e.library.encode(t), t
 
 
+def test_model_with_pieces_across_words(tmp_path):
+    """Texts go whole where a piece crosses into the next word."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -3.0, 1), ("▁a", -2.0, 1), ("a▁b", -1.5, 1), ("a", -4.0, 1), ("b", -4.5, 1), ("c", -3.5, 1)]
+    body = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    body += _message((2, _message((3, 1), (4, len(pieces)))), (3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    file = tmp_path / "across.model"
+    file.write_bytes(body)
+    e = sp.Encoder(str(file))
+    texts = ["a b", "ca b a b", "", "c  a", "b a ba bc"]
+    for t, (ids, same) in zip(texts, e.encode(texts)):
+        assert same and np.frombuffer(ids, "<u4").tolist() == e.library.encode(t), t
+
+
 def test_sentencepiece_table(spark):
     got = {r.doc_id: r for r in sp.encode_documents(table(spark, [*enumerate(TEXTS), (99, None), (99, None)]), path(), with_ids=True).collect()}
     assert all(r.parity and r.round_trip and len(r.ids) == r.n_tokens for r in got.values()) and got[99].n_tokens == 0
