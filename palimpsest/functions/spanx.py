@@ -43,17 +43,52 @@ def clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), OPEN + SHUT, "")
 
 
+#: Matches of a text that are folded at once.
+FOLD = 32
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern, left to right: start, end, text."""
+    """All matches of a pattern, left to right: start, end, text. They are folded in blocks, so
+    that an array that grows is never copied for each match of a long text; a text without a
+    match is scanned once."""
     parts = F.split(F.regexp_replace(text, pattern, OPEN + "$0" + SHUT), f"[{OPEN}{SHUT}]", -1)
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("k"), F.array().cast(MATCH).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        end = (a["pos"] + F.char_length(x)).cast("int")
-        found = F.struct(a["pos"].alias("start"), end.alias("end"), x.alias("text"))
-        return F.struct(end.alias("pos"), (a["k"] + 1).alias("k"), F.when(a["k"] % 2 == 1, F.array_append(a["out"], found)).otherwise(a["out"]).alias("out"))
+    def step(a: Column, x: Column) -> Column:  # x: the text before a match, and the match
+        start = a["pos"] + F.char_length(x["gap"])
+        end = (start + F.char_length(x["text"])).cast("int")
+        return F.struct(end.alias("pos"), F.array_append(a["out"], F.struct(start.cast("int").alias("start"), end.alias("end"), x["text"].alias("text"))).alias("out"))
+
+    def block(a: Column, some: Column) -> Column:
+        zero = F.struct(a["pos"].alias("pos"), F.array().cast(MATCH).alias("out"))
+        return F.aggregate(some, zero, step, lambda b: F.struct(b["pos"].alias("pos"), F.array_append(a["out"], b["out"]).alias("out")))
+
+    def folded(pieces: Column) -> Column:
+        last = F.size(pieces) - 2
+        pairs = lambda i: F.transform(F.sequence(i, F.least(i + 2 * FOLD - 2, last - 1), F.lit(2)), lambda k: F.struct(F.get(pieces, k).alias("gap"), F.get(pieces, k + 1).alias("text")))
+        blocks = F.transform(F.sequence(F.lit(0), last - 1, F.lit(2 * FOLD)), pairs)
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{MATCH}>").alias("out")), block, lambda a: F.flatten(a["out"]))
+
+    # The pieces are computed once, as the one element of an array.
+    found = F.get(F.transform(F.array(parts), folded), F.lit(0))
+    return F.when(text.rlike(pattern), found).when(text.isNotNull(), F.array().cast(MATCH))
+
+
+_BUILT: dict = {}
+
+
+def built(make: Callable[..., Column], *of) -> Column:
+    """``make(*of)``, made once: long expressions take seconds to build. Arguments are told
+    apart by identity, or by value where they are strings."""
+    from pyspark import SparkContext
 
-    return F.aggregate(parts, zero, step, lambda a: a["out"])
+    gateway = SparkContext._gateway
+    key = (id(gateway), make, *(x if isinstance(x, str) else id(x) for x in of))
+    if key not in _BUILT:
+        if len(_BUILT) >= 256:
+            _BUILT.clear()
+        with uncaptured():
+            _BUILT[key] = (make(*of), gateway, of)  # what the key names stays alive
+    return _BUILT[key][0]
 
 
 def part(text: Column, start: Column, end: Column) -> Column:

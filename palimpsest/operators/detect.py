@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import checks, context as C, fixed as X, normalize as N
-from ..functions.spanx import SPANS, matches, part, same, settle, uncaptured, without_overlap
+from ..functions.spanx import SPANS, built, matches, part, same, settle, uncaptured, without_overlap
 from . import resolve
 
 Rule = Callable[[Column], Column]  # candidate -> struct(score, entity_type) or null
@@ -165,6 +166,12 @@ class Catalog:
         return sorted({*self.order, *(p[0] for p in self.patterns), *X.MODEL_ONLY})
 
 
+@cache
+def default_catalog() -> Catalog:
+    """The rules as they come: one object, so that what is built from it is built once."""
+    return Catalog()
+
+
 def candidates(text: Column, patterns: tuple[str, ...] = tuple(X.CANDIDATES)) -> Column:
     """Matches of all patterns in pattern order, each span once (the first pattern has it)."""
     digits = F.char_length(F.regexp_replace(text, r"(?U)\D", "")) >= 6
@@ -264,6 +271,14 @@ def pattern_spans(text: Column, catalog: Catalog) -> Column:
     return F.array_distinct(F.flatten(F.array(*found)))
 
 
+def _numbers(text: str, catalog: Catalog) -> Column:
+    return number_spans(F.col(text), catalog)
+
+
+def pattern_column(text: str, catalog: Catalog) -> Column:
+    return pattern_spans(F.col(text), catalog)
+
+
 def _sorted(numbers: Column, patterns: Column) -> Column:
     return F.array_sort(F.concat(numbers.cast(SPANS), patterns.cast(SPANS)))
 
@@ -271,8 +286,8 @@ def _sorted(numbers: Column, patterns: Column) -> Column:
 def rule_spans(rows: DataFrame, text: str, out: str, catalog: Catalog) -> DataFrame:
     """``rows`` with all rule spans of a text column, by (start, end, type)."""
     rows = settle(rows.withColumn("_safe", N.safe(F.col(text))))
-    rows = settle(rows.withColumn("_numbers", number_spans(F.col("_safe"), catalog)))
-    return settle(rows.withColumn(out, _sorted(F.col("_numbers"), pattern_spans(F.col(text), catalog)))).drop("_safe", "_numbers")
+    rows = settle(rows.withColumn("_numbers", built(_numbers, "_safe", catalog)))
+    return settle(rows.withColumn(out, _sorted(F.col("_numbers"), built(pattern_column, text, catalog)))).drop("_safe", "_numbers")
 
 
 #: Between texts that are read as one: more than the widest context on either side.
@@ -328,7 +343,7 @@ def detect(docs: DataFrame, catalog: Catalog | None = None, *, model: DataFrame
     ``rejected`` says why, and it has no spans. Null and empty texts have no spans.
     """
     with uncaptured():
-        return _detect(docs, catalog or Catalog(), model, translit, english, base64)
+        return _detect(docs, catalog or default_catalog(), model, translit, english, base64)
 
 
 def _detect(docs: DataFrame, catalog: Catalog, model: DataFrame | None, translit: bool, english: bool, base64: bool) -> DataFrame:

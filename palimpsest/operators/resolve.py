@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as X, normalize as N
-from ..functions.spanx import best_first, duels, matches, overlap, part, settle
+from ..functions.spanx import best_first, built, duels, matches, overlap, part, settle
 
 
 def email_shaped(spans: Column, text: Column) -> Column:
@@ -85,17 +85,34 @@ def links_in_mail(spans: Column, text: Column) -> Column:
     return F.filter(spans, lambda s: (s["entity_type"] != "URL") | ~domain(s))
 
 
+PAIRWISE = tuple(X.PAIRWISE)
 HANDLERS = (dates_in_addresses, dates_in_norms, addresses_without_digits, links_in_mail)
 
 
-def resolve(rows: DataFrame, spans: str, text: str, out: str, *, over_phone=tuple(X.OVER_PHONE), pairwise=tuple(X.PAIRWISE), handlers=HANDLERS) -> DataFrame:
+def resolve(rows: DataFrame, spans: str, text: str, out: str, *, over_phone=tuple(X.OVER_PHONE), pairwise=PAIRWISE, handlers=HANDLERS) -> DataFrame:
     """Phones, pairs, handlers, equal types, and the greedy choice by score, one after another."""
     rows = settle(rows.withColumn(out, over_phones(F.col(spans), tuple(over_phone))))
-    rows = settle(rows.withColumn(out, by_pairs(F.col(out), tuple(pairwise))))
+    rows = settle(rows.withColumn(out, built(_by_pairs, out, pairwise)))
     for handler in handlers:
-        rows = settle(rows.withColumn(out, handler(F.col(out), F.col(text))))
-    rows = settle(rows.withColumn(out, same_type(F.col(out))))
-    return settle(rows.withColumn(out, best_first(F.col(out))))
+        rows = settle(rows.withColumn(out, built(_handled, handler, out, text)))
+    rows = settle(rows.withColumn(out, built(_same_type, out)))
+    return settle(rows.withColumn(out, built(_best_first, out)))
+
+
+def _by_pairs(spans: str, rules: tuple[tuple[str, str], ...]) -> Column:
+    return by_pairs(F.col(spans), tuple(rules))
+
+
+def _handled(handler, spans: str, text: str) -> Column:
+    return handler(F.col(spans), F.col(text))
+
+
+def _same_type(spans: str) -> Column:
+    return same_type(F.col(spans))
+
+
+def _best_first(spans: str) -> Column:
+    return best_first(F.col(spans))
 
 
 def rules_over_model(model: DataFrame, rules: DataFrame) -> DataFrame:

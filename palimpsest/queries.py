@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import checks, normalize as N
 from .functions.lineage import checkpoint
-from .functions.spanx import SPANS, best_first, clean, matches
+from .functions.spanx import SPANS, best_first, built, clean, matches
 from .operators import evaluate as E, ner, pseudonymize as P, resolve
-from .operators.detect import Catalog, detect, long_spans, pattern_spans
+from .operators.detect import default_catalog, detect, long_spans, pattern_column
 from .operators.render import render
 from .operators.restore import restore
 from .plans import api, planted
@@ -42,9 +42,9 @@ def query(name: str, sql: str | None = None):
 @query("email_ip_counts")
 def email_ip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: mail and network addresses and dates of all documents, by type."""
-    rules = Catalog()
+    rules = default_catalog()
     rows = table(spark, sf_dir, "documents").select("doc_id", N.squeeze(N.safe(clean(F.col("text")))).alias("norm"))
-    rows = resolve.resolve(rows.withColumn("found", pattern_spans(F.col("norm"), rules)), "found", "norm", "spans")
+    rows = resolve.resolve(rows.withColumn("found", built(pattern_column, "norm", rules)), "found", "norm", "spans")
     one = rows.select("doc_id", F.explode("spans").alias("s"))
     return one.groupBy(F.col("s.entity_type").alias("entity_type")).agg(F.count("*").alias("n_spans"), F.count_distinct("doc_id").alias("n_docs"))
 
