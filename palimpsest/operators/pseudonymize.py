@@ -121,7 +121,10 @@ def placed(found: DataFrame, assigned: DataFrame) -> DataFrame:
     return rows.withColumn("rendered", replace_spans(F.col("norm"), tags, lambda s: s["tag"])).drop("tags")
 
 
-def gate_mapping(rows: DataFrame) -> DataFrame:
-    """Mappings within the ceilings: so many entries a session, so many characters a string."""
-    n = F.count("*").over(Window.partitionBy("session"))
-    return rows.withColumn("_n", n).filter((F.col("_n") <= X.MAPPING_ENTRIES) & (F.char_length("tag") <= X.MAPPING_CHARS) & (F.char_length("value") <= X.MAPPING_CHARS)).drop("_n")
+def refused(rows: DataFrame) -> DataFrame:
+    """(session, reason) of sessions whose mapping is beyond a ceiling: so many entries, so many
+    characters of a string. Sizes are said, never a value."""
+    sizes = rows.groupBy("session").agg(F.count("*").alias("n"), F.max(F.greatest(F.char_length("tag"), F.coalesce(F.char_length("value"), F.lit(0)))).alias("longest"))
+    many = F.when(F.col("n") > X.MAPPING_ENTRIES, F.format_string(f"%d mapping entries, more than {X.MAPPING_ENTRIES}", "n"))
+    long = F.when(F.col("longest") > X.MAPPING_CHARS, F.format_string(f"a mapping string of %d characters, more than {X.MAPPING_CHARS}", "longest"))
+    return sizes.select("session", F.coalesce(many, long).alias("reason")).filter("reason is not null")

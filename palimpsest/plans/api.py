@@ -8,7 +8,7 @@ from .. import __version__
 from ..functions import fixed as X
 from ..functions.lineage import checkpoint
 from ..operators import pseudonymize as P
-from ..operators.detect import Catalog, detect
+from ..operators.detect import Catalog, default_catalog, detect
 from ..operators.render import allowed, check_mode, render
 from ..operators.restore import restore
 from ..sources.config import Settings
@@ -62,14 +62,17 @@ def placeholders(docs: DataFrame, entities: list[str] | None = None, settings: S
 
 
 def deanonymize(docs: DataFrame, mapping: DataFrame) -> DataFrame:
-    """docs (session, doc_id, text) with ``restored``."""
-    return restore(docs, P.gate_mapping(mapping))
+    """docs (session, doc_id, text) with ``restored`` and ``rejected``: a session whose mapping
+    is beyond the ceilings is refused as a whole, with the reason, and nothing is restored."""
+    beyond = checkpoint(P.refused(mapping)).select("session", F.col("reason").alias("rejected"))
+    out = restore(docs, mapping.join(beyond, "session", "left_anti")).join(beyond, "session", "left")
+    return out.withColumn("restored", F.when(F.col("rejected").isNull(), F.col("restored")))
 
 
 def capabilities(spark: SparkSession, settings: Settings | None = None, catalog: Catalog | None = None) -> DataFrame:
     """One row: version, device, configured types, and those that can't be found here (types
     of the model branch while it is off, and unknown names)."""
-    settings, catalog = settings or Settings(), catalog or Catalog()
+    settings, catalog = settings or Settings(), catalog or default_catalog()
     have = [t for t in catalog.entity_types() if not (settings.ner_disabled or not settings.model_name) or t not in X.MODEL_ONLY]
     row = spark.range(1).select(
         F.lit(__version__).alias("version"), F.lit(settings.device or "auto").alias("device"), F.array(*map(F.lit, settings.entities)).alias("configured"), F.array(*map(F.lit, have)).alias("have")

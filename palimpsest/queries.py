@@ -244,7 +244,15 @@ def gate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.errors(*E.gate_match(_spans(spark, sf_dir, _GOLD), _spans(spark, sf_dir, _PRED)))
 
 
-@query("gate_verdicts", "select * from (values ('micro_f1', false), ('category_floor', false), ('coverage', false), ('error_rate', true), ('regression', true)) v(gate, passed)")
+_VERDICTS = f"""{_MATCH}{_METRICS.rpartition("select label, tp")[0].rstrip()},
+q as (select label, round(case when p + c > 0 then 2 * p * c / (p + c) else 0.0 end, 6) as f1 from r)
+select 'micro_f1' as gate, (select f1 from q where label is null) >= 0.95 as passed union all
+select 'category_floor', (select count(*) from q where label is not null and f1 < 0.85) = 0 union all
+select 'coverage', (select count(*) from (values ('OPEN'), ('DONE'), ('ABSENT')) v(name) where name not in (select label from g)) = 0 union all
+select 'error_rate', 0.0 <= 0.05 union all select 'regression', true"""
+
+
+@query("gate_verdicts", _VERDICTS)
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     golds, preds = E.gate_match(_spans(spark, sf_dir, _GOLD), _spans(spark, sf_dir, _PRED))
     return E.gates(E.metrics(golds, preds), E.coverage(["OPEN", "DONE", "ABSENT"], golds))

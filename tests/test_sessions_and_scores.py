@@ -149,3 +149,13 @@ def test_stream_keeps_ids(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.value, r.tag) for r in spark.table("tagged").collect()}
     assert len(got) == 3 and OUT
+
+
+def test_mappings_beyond_a_ceiling_are_refused_with_a_reason(spark):
+    tag = '<PII type="X" id="%d" />'
+    rows = [(1, tag % 1, "one"), (2, tag % 1, "v" * 5000)] + [(3, tag % k, "v") for k in range(4097)]
+    mapping = spark.createDataFrame(rows, "session long, tag string, value string")
+    docs = spark.createDataFrame([(s, s, f"a {tag % 1} b") for s in (1, 2, 3, 4)], "session long, doc_id long, text string")
+    got = {r.session: (r.restored, r.rejected) for r in api.deanonymize(docs, mapping).collect()}
+    assert got[1] == ("a one b", None) and got[4] == ("a **** b", None)
+    assert got[2] == (None, "a mapping string of 5000 characters, more than 4096") and got[3] == (None, "4097 mapping entries, more than 4096")
