@@ -16,7 +16,7 @@ exactly the repeated windows. What makes this affordable is that almost no windo
 3. Chunks turn bits into removed bytes.
 
 False sharing of fingerprints costs work, never a wrong result: units are told apart by
-their bytes. An answer comes back to the places of its unit within one chunk, by 96 bits of hash.
+their bytes. An answer comes back to the places of its unit within one chunk, by 80 bits of hash.
 Messages between chunks and shards are packed arrays: one row per chunk and shard. Within a
 chunk, equal units are sent once, so a passage that every document has costs one unit a
 chunk.
@@ -140,7 +140,7 @@ class Chunk:
 
 
 def unit_hashes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 bits of hash, and 32 bits of another."""
+    """64 bits of hash, and 16 bits of another."""
     n = len(units)
     wide = np.zeros((n, -(-UNIT // 8) * 8), np.uint8)
     wide[:, :UNIT] = units
@@ -150,7 +150,7 @@ def unit_hashes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> _U(35)
         g = (g + c) * _U(0xC2B2AE3D27D4EB4F)
         g ^= g >> _U(31)
-    return mix(h), (mix(g) >> _U(32)).astype(np.uint32)
+    return mix(h), (mix(g) >> _U(48)).astype(np.uint16)
 
 
 def _split(sorted_shard: np.ndarray, shards: int) -> np.ndarray:
@@ -303,7 +303,7 @@ def _gone(c: Chunk, answers: pa.Table) -> np.ndarray:
     covered = np.zeros(len(c.buf) + 1, np.int32)
     if answers.num_rows and len(c.at):
         col = lambda n, t: np.concatenate([np.frombuffer(x, t) for x in answers[n].to_pylist()])
-        h, check, owner, early, valid = col("hashes", _U), col("checks", np.uint32), col("owners", np.int64), col("early", np.uint32), col("valid", np.uint32)
+        h, check, owner, early, valid = col("hashes", _U), col("checks", np.uint16), col("owners", np.int64), col("early", np.uint32), col("valid", np.uint32)
         order = np.lexsort((check, h))
         h, check, owner, early, valid = h[order], check[order], owner[order], early[order], valid[order]
         step, after = 1 << 17, np.append(h[1:], ~h[-1])
