@@ -219,13 +219,13 @@ def _send(shards: int, name: str):
         packed = lambda x: pa.array([x[rows[s]].tobytes() for s in full], pa.binary())
         return pa.table({
             "shard": pa.array(full, pa.int32()), "chunk": pa.array([docs[name][0].as_py()] * len(full), pa.int32()),
-            "units": packed(units), "hashes": packed(h), "checks": packed(check), "owners": packed(owner),
+            "units": packed(units), "owners": packed(owner),
         }, schema=_UNITS)
 
     return f
 
 
-_UNITS = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), *((c, pa.binary()) for c in ("units", "hashes", "checks", "owners"))])
+_UNITS = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("units", pa.binary()), ("owners", pa.binary())])
 
 
 def _classes(group: np.ndarray) -> np.ndarray:
@@ -277,12 +277,13 @@ def _classes_of(group: np.ndarray, digit: np.ndarray) -> np.ndarray:
 
 def _sort(table: pa.Table) -> pa.Table:
     """Shard -> chunks: for each unit, a bit for each window that a smaller id has."""
-    hashes = [np.frombuffer(x, _U) for x in table["hashes"].to_pylist()]
-    owners = np.concatenate([np.frombuffer(x, np.int64) for x in table["owners"].to_pylist()])
+    owners = [np.frombuffer(x, np.int64) for x in table["owners"].to_pylist()]
+    cut = np.concatenate([[0], np.cumsum([len(x) for x in owners])])
+    owners = np.concatenate(owners)
     units = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, UNIT) for x in table["units"].to_pylist()])
     # Equal units of several chunks are one, by their bytes, with the smallest owner.
     as_bytes = np.ascontiguousarray(units).view(f"V{UNIT}").reshape(-1)
-    h = np.concatenate(hashes)
+    h, check = unit_hashes(units)
     order = np.lexsort((owners, h))
     new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (as_bytes[order][1:] != as_bytes[order][:-1])]) if len(h) else np.zeros(0, bool)
     which = np.empty(len(h), np.int64)
@@ -293,9 +294,8 @@ def _sort(table: pa.Table) -> pa.Table:
     valid = valid[:, :, -1] == valid[:, :, 0]
     weight = np.uint32(1) << np.arange(SPAN, dtype=np.uint32)
     early, valid = (first & valid) @ weight, valid @ weight  # SPAN bits each
-    cut = np.concatenate([[0], np.cumsum([len(x) for x in hashes])])
     pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
-    return pa.table({"chunk": table["chunk"], "hashes": table["hashes"], "checks": table["checks"], "owners": table["owners"], "early": pack(early), "valid": pack(valid)})
+    return pa.table({"chunk": table["chunk"], "hashes": pack(h), "checks": pack(check), "owners": table["owners"], "early": pack(early), "valid": pack(valid)})
 
 
 def _gone(c: Chunk, answers: pa.Table) -> np.ndarray:
@@ -376,7 +376,7 @@ def _in_chunks(docs: DataFrame, finish, schema) -> DataFrame:
     by_chunk = chunked(docs, chunks, name).groupBy(name)
     asked = by_chunk.applyInArrow(_ask(shards, name), "shard int, chunk int, fps binary, several binary")
     bits = asked.groupBy("shard").applyInArrow(_shared, "chunk int, shard int, bits binary")
-    sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(_send(shards, name), "shard int, chunk int, units binary, hashes binary, checks binary, owners binary")
+    sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(_send(shards, name), "shard int, chunk int, units binary, owners binary")
     answers = sent.groupBy("shard").applyInArrow(_sort, "chunk int, hashes binary, checks binary, owners binary, early binary, valid binary")
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
 
