@@ -16,9 +16,11 @@ Extra columns are ignored. An empty table gives no pieces. Long texts are cut, n
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ LIMIT = 4096
 #: The id after each document.
 END = 1
 #: Entries of either generation of a worker's cache of words.
-CACHE = 250_000
+CACHE = 400_000
 #: Characters that are one lower-case character each in lower case, and stable in any normal form: Latin letters up to
 #: U+017F but for one that becomes two.
 _SIMPLE = re.compile("[\0-\u012f\u0131-\u017f]*").fullmatch
@@ -39,6 +41,19 @@ _LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
 _SHAPE = re.compile("([!-&(-/:-@\\[-`{-~]*)([a-zà-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
 
 
+@contextmanager
+def one_thread(name: str = "TOKENIZERS_PARALLELISM"):
+    """The tokenizers library starts no threads in here: a task has one core, and threads that wait for words cost it time."""
+    before = os.environ.get(name)
+    os.environ[name] = "false"
+    try:
+        yield
+    finally:
+        del os.environ[name]
+        if before is not None:
+            os.environ[name] = before
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that never looks across a space, with a cache of words.
 
@@ -111,7 +126,8 @@ class WordEncoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = self._known(set().union(*split) - self.words.keys())
         if new:
-            self.learn(new)
+            with one_thread():
+                self.learn(new)
         get = self.words.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
