@@ -160,6 +160,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Each text's ids as little-endian 32-bit numbers, and whether they agree with the library's."""
+        return [(ids, same) for ids, same, _ in self.read(texts)]
+
+    def read(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
+        """What ``encode`` has of each text, and its normal form."""
         if len(self.words) > CACHE or not self.model.words_apart:
             self.words = {}
         normal = [self.normalise(t) for t in texts]
@@ -170,9 +174,9 @@ class Encoder:
             self.learn(list(new))
         get = self.words.__getitem__
         out = []
-        for s, ok in zip(split, same):
+        for s, ok, n in zip(split, same, normal):
             parts = list(map(get, s))
-            out.append((b"".join([p[0] for p in parts]), ok and all([p[1] for p in parts])))
+            out.append((b"".join([p[0] for p in parts]), ok and all([p[1] for p in parts]), n))
         return out
 
     def pieces_text(self) -> list[bytes]:
@@ -210,8 +214,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 while to < len(texts) and total < 1 << 21:
                     total += len(texts[to])
                     to += 1
-                for t, (ids, same) in zip(texts[at:to], e.encode(texts[at:to])):
-                    plain = e.normalise(t).replace(SPACE, " ")
+                for ids, same, normal in e.read(texts[at:to]):
+                    plain = normal.replace(SPACE, " ")
                     plain = plain[1:] if e.model.dummy_prefix else plain
                     rows.append((len(ids) // 4, zlib.crc32(ids), same, e.decode(ids) == plain, ids))
                 at = to
