@@ -5,8 +5,8 @@ built anew: the normaliser (dummy prefix, white space as U+2581, the rest as the
 pieces with scores (unigram models) or merges ranked by the scores of what they make (BPE
 models), byte fallback, and the decoder. Where no piece has U+2581 after another character, what
 starts at one never joins what stands before it; then texts are encoded as runs of words, and
-a chunk's distinct words are encoded once, in multithreaded batches. With other models texts
-are encoded whole. Each whole text is also normalised by the SentencePiece library, and each
+a chunk's distinct words are encoded once, in multithreaded batches of strings of many words,
+whose ids are cut at the words again. With other models texts are encoded whole. Each whole text is also normalised by the SentencePiece library, and each
 distinct word (or whole text) encoded by it; a document's ``parity`` says whether the
 normalised texts are the same and all of its ids agree.
 
@@ -29,6 +29,8 @@ from .common import with_text
 
 #: Entries of a worker's cache of words; a full one starts anew.
 CACHE = 300_000
+#: Words that are encoded as one string.
+GROUP = 128
 SPACE = "▁"
 # Kinds of pieces and models in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -123,7 +125,11 @@ class Encoder:
         self.tokenizer = build(self.model)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.charsmap = normalizers.Precompiled(self.model.charsmap) if self.model.charsmap else None
-        self.words: dict[str, tuple[bytes, bool]] = {}
+        #: Ids of words, and those words whose ids aren't the library's.
+        self.words: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
+        self.blank = np.array([p != "" and not p.strip(SPACE) for p, _, _ in self.model.pieces])
+        self.starts = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
 
     def normalise(self, text: str) -> str:
         m = self.model
@@ -154,9 +160,30 @@ class Encoder:
         return self.library.encode([w[cut:].replace(SPACE, " ") for w in words], num_threads=1)
 
     def learn(self, words: list[str]) -> None:
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for w, e, o in zip(words, got, self._own(words)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes(), e.ids == o
+        """Ids of words: many are read as one string where both encoders agree on it and the ids tell the words
+        apart (each begins with U+2581, none ends with it, no unknown piece), and each by itself elsewhere."""
+        alone = words
+        if self.model.words_apart:
+            joined = [w for w in words if w[0] == SPACE != w[-1]]
+            alone = [w for w in words if not w[0] == SPACE != w[-1]]
+            groups = [joined[i : i + GROUP] for i in range(0, len(joined), GROUP)]
+            strings = list(map("".join, groups))
+            for g, e, o in zip(groups, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), self._own(strings)):
+                ids = e.ids
+                a = np.array(ids, "<u4")
+                first = self.starts[a]
+                # A run of U+2581 may be several pieces: a word begins where the piece before isn't of that run.
+                first[1:] &= ~self.blank[a[:-1]]
+                cuts = np.flatnonzero(first)
+                if ids != o or len(cuts) != len(g) or self.model.unk in ids:
+                    alone += g
+                    continue
+                data, cuts = a.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                self.words.update(zip(g, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+        for w, e, o in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), self._own(alone)):
+            self.words[w] = np.array(e.ids, "<u4").tobytes()
+            if e.ids != o:
+                self.unlike.add(w)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Each text's ids as little-endian 32-bit numbers, and whether they agree with the library's."""
@@ -165,7 +192,7 @@ class Encoder:
     def read(self, texts: list[str]) -> list[tuple[bytes, bool, str]]:
         """What ``encode`` has of each text, and its normal form."""
         if len(self.words) > CACHE or not self.model.words_apart:
-            self.words = {}
+            self.words, self.unlike = {}, set()
         normal = [self.normalise(t) for t in texts]
         same = [n == o for n, o in zip(normal, self.library.normalize(texts))]
         split = list(map(self.split, normal))
@@ -175,8 +202,7 @@ class Encoder:
         get = self.words.__getitem__
         out = []
         for s, ok, n in zip(split, same, normal):
-            parts = list(map(get, s))
-            out.append((b"".join([p[0] for p in parts]), ok and all([p[1] for p in parts]), n))
+            out.append((b"".join(map(get, s)), ok and self.unlike.isdisjoint(s), n))
         return out
 
     def pieces_text(self) -> list[bytes]:

@@ -209,6 +209,27 @@ def test_unigram_model_with_scores_and_byte_fallback(tmp_path):
         assert np.frombuffer(e.encode([t])[0][0], "<u4").tolist() == e.library.encode(t), t
 
 
+@pytest.mark.parametrize("group", [1, 3, 128])
+def test_words_read_as_one_string_have_their_own_ids(monkeypatch, group):
+    monkeypatch.setattr(sp, "GROUP", group)
+    e = sp.Encoder(path())
+    texts = ["the cat sat  on   the mat ", " ▁▁x ▁", "é 😀 字 \x00 <unk> </s> <0x41>", "   ", "z" * 3000 + " y", " ".join(f"word{i}" for i in range(500))]
+    for (ids, same), t in zip(e.encode(texts), texts):
+        assert same and np.frombuffer(ids, "<u4").tolist() == e.library.encode(t), t
+
+
+def test_words_with_unknown_pieces_are_read_alone(tmp_path):
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -3.0, 1), ("▁ab", -2.0, 1), ("ab", -2.5, 1), ("a", -4.0, 1), ("b", -4.5, 1)]
+    body = b"".join(_message((1, _message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    body += _message((2, _message((3, 1), (4, len(pieces)))), (3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    file = tmp_path / "unknown.model"
+    file.write_bytes(body)
+    e = sp.Encoder(str(file))
+    texts = ["ab xé ab", "é é", "x", "abx ab ba"]
+    for (ids, same), t in zip(e.encode(texts), texts):
+        assert same and np.frombuffer(ids, "<u4").tolist() == e.library.encode(t), t
+
+
 def test_model_with_pieces_across_words(tmp_path):
     """Texts go whole where a piece crosses into the next word."""
     pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -3.0, 1), ("▁a", -2.0, 1), ("a▁b", -1.5, 1), ("a", -4.0, 1), ("b", -4.5, 1), ("c", -3.5, 1)]
