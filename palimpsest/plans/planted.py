@@ -101,3 +101,91 @@ def docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     before, value, after, _ = PLANTED[name]
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     return rows.selectExpr(f"{KEY} as doc_id", f"concat('{before}', {value}, '{after}') as text")
+
+
+# --- Contests, vetoes and forms: each row of customer is one of a table's cases, by its key ----
+
+_DAY, _YEAR = f"cast({KEY} % 19 + 10 as varchar(20))", f"cast(1950 + {KEY} % 70 as varchar(20))"
+_MONTH = f"lpad(cast({KEY} % 12 + 1 as varchar(20)), 2, '0')"
+_TEN = f"concat('45', substr({stem(8)}, 1, 2), ' ', substr({stem(8)}, 3, 6))"
+
+
+def _glued(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
+
+
+def _digits(first: str, digits: int) -> str:
+    return f"concat('{first}', substr({stem(8, 40009)}, 2, {digits}))"
+
+
+#: name: cases of (before, value, after, entity type or None where nothing may be found)
+CASES: dict[str, list[tuple[str, str, str, str | None]]] = {
+    "document_contests": [
+        ("Права водителя не нужны, нужен паспорт ", _TEN, "", "PASSPORT"),
+        ("Сдан паспорт, взамен водительские права ", _TEN, "", "DRIVER_LICENSE"),
+        ("Списано с банковской карты ", luhn16(), "", "CREDIT_CARD"),
+        ("Предъявлен полис ОМС ", luhn16(), "", "OMS"),
+        ("Банковская карта потеряна, номер полиса ОМС ", luhn16(), "", "OMS"),
+        ("", _glued("'АБ '", stem(7)), "", "MILITARY_ID"),
+        ("", _glued("'РФ '", stem(7)), "", None),
+        ("Военный билет ", _glued("'РФ '", stem(7)), "", "MILITARY_ID"),
+    ],
+    "number_vetoes": [
+        ("почтовый адрес: ", _digits("9", 5), "", None),
+        ("почтовый адрес: ", _digits("5", 5), "", None),
+        ("почтовый индекс ", _digits("6", 5), "", "POSTAL_CODE"),
+        ("номер заказа ", _digits("1", 5), "", None),
+        ("контрольное число ", _digits("1", 5), " в логах", None),
+        ("", _digits("63", 4), ", г. Новосибирск, ул. Садовая", "POSTAL_CODE"),
+        ("Биржевой индекс за день вырос на ", _digits("27", 4), " пунктов", None),
+        ("БИК ", _digits("12", 7), "", "BIK"),
+        ("номер обращения ", _digits("044525", 3), " в системе", None),
+        ("мой инстаграм ", _glued("'@user_'", stem(6)), "", None),
+        ("мой ник в телеграме ", _glued("'user_'", stem(6)), "", None),
+        ("мой канал ", _glued("'t.me/user_'", stem(6)), "", None),
+    ],
+    "date_forms": [
+        ("Встреча ", _glued(_DAY, "' мая '", _YEAR), " в офисе", "DATE_TIME"),
+        ("Дата ", _glued(_DAY, "'/'", _MONTH, "'/'", _YEAR), "", "DATE_TIME"),
+        ("Дата ", _glued(_YEAR, "'/'", _MONTH, "'/'", _DAY), "", "DATE_TIME"),
+        ("Время ", _glued(_DAY.replace("% 19 + 10", "% 14 + 10"), "':00'"), "", "DATE_TIME"),
+        ("Займёт ", _glued(_DAY, "' часов'"), "", "DATE_TIME"),
+        ("Срок ", _glued(_MONTH, "'/'", _YEAR), "", "DATE_TIME"),
+        ("Запись ", _glued(_YEAR, "'-'", _MONTH, "'-'", _DAY, "'T10:30:00Z'"), "", "DATE_TIME"),
+        ("Дата ", _glued(_DAY, "' янв. '", _YEAR), "", "DATE_TIME"),
+        ("Дата ", _glued(_DAY, "'-го января '", _YEAR), "", "DATE_TIME"),
+        ("Период ", _glued("'январь '", _YEAR), "", "DATE_TIME"),
+        ("Дата ", _glued(_YEAR, "', '", _DAY, "' мая'"), "", "DATE_TIME"),
+        ("English ", _glued("'January '", _DAY, "'th, '", _YEAR), "", "DATE_TIME"),
+        ("СП ", _glued("'2.1.3678-'", _DAY), "", None),
+        ("п. ", _glued("'3.'", _DAY), " договора", None),
+        ("версия ", _glued("'1.2.'", f"cast({KEY} % 9 as varchar(20))"), "", None),
+    ],
+    "address_forms": [
+        ("узел ", _glued("'2001:0db8:85a3:0000:0000:8a2e:0370:'", stem(4)), " в сети", "IP_ADDRESS"),
+        ("узел ", _glued("'2001:db8::'", stem(3)), " в сети", "IP_ADDRESS"),
+        ("узел ", _glued("'192.168.'", f"cast({KEY} % 256 as varchar(20))", "'.7'"), " в сети", "IP_ADDRESS"),
+        ("пишите на ", _glued("'a.'", stem(5), "'+x@sub.mail.example'"), " сегодня", "EMAIL_ADDRESS"),
+    ],
+}
+
+
+def _by_case(name: str, column: str) -> str:
+    whens = "".join(f" when {i} then {f if isinstance(f, str) else 'null'}" for i, f in enumerate(_case_values(name, column)))
+    return f"case {KEY} % {len(CASES[name])}{whens} end"
+
+
+def _case_values(name: str, column: str):
+    for before, value, after, kind in CASES[name]:
+        yield {"text": f"concat('{before}', {value}, '{after}')", "value": value, "at": f"{len(before)}", "kind": kind and f"'{kind}'"}[column]
+
+
+def case_gold_sql(name: str) -> str:
+    """What must be found in a table of cases: its one value, or nothing."""
+    inner = f"select {KEY} as doc_id, cast({_by_case(name, 'at')} as int) as place, {_by_case(name, 'value')} as value, {_by_case(name, 'kind')} as entity_type from customer"
+    return f'select doc_id, place as "start", cast(place + length(value) as int) as "end", entity_type, value from ({inner}) t where entity_type is not null'
+
+
+def case_docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return rows.selectExpr(f"{KEY} as doc_id", f"{_by_case(name, 'text')} as text")

@@ -135,6 +135,16 @@ for _name in planted.PLANTED:
     query(f"planted_{_name}", planted.gold_sql(_name))(partial(_planted, _name))
 
 
+def _cases(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contests between types, vetoes and further forms: one value a text, or none."""
+    found = detect(planted.case_docs(spark, sf_dir, name), translit=False, english=False, base64=False)
+    return long_spans(found).select("doc_id", "start", "end", "entity_type", "value")
+
+
+for _name in planted.CASES:
+    query(_name, planted.case_gold_sql(_name))(partial(_cases, _name))
+
+
 def _rendered(name: str, mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(planted.docs(spark, sf_dir, name), translit=False, english=False, base64=False)
     return render(found, mode).select("doc_id", "rendered")

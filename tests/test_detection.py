@@ -157,3 +157,16 @@ def test_rules_beat_the_model(spark):
     docs = spark.createDataFrame([(1, "ИНН 7707083893 Иван")], "doc_id long, text string")
     model = spark.createDataFrame([(1, [(4, 14, "PHONE_NUMBER", 0.7, "model"), (15, 19, "PERSON", 0.7, "model")])], f"doc_id long, spans {SPANS}")
     assert {r.entity_type for r in long_spans(detect(docs, model=model)).collect()} == {"INN", "PERSON"}
+
+
+@pytest.mark.parametrize("name", ["document_contests", "number_vetoes", "date_forms", "address_forms"])
+def test_contests_and_vetoes_are_what_their_sql_says(spark, tmp_path, name):
+    import duckdb
+
+    from palimpsest import queries
+
+    spark.range(1, 61).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.sql(queries.ORACLE[name]).fetchall()
+    assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want) and want
