@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed as X
@@ -77,9 +82,14 @@ def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 def metrics(golds: DataFrame, preds: DataFrame) -> DataFrame:
     """tp, fp, fn and rates of each label, and of all (label null), by rollup."""
-    both = golds.select("label", F.col("hit").cast("int").alias("tp"), (~F.col("hit")).cast("int").alias("fn"), F.lit(0).alias("fp")).unionByName(
-        preds.select("label", F.lit(0).alias("tp"), F.lit(0).alias("fn"), (~F.col("hit")).cast("int").alias("fp"))
-    )
+    kind = lambda d, gold: d.select("label", F.lit(gold).alias("is_gold"), "hit")
+    return scores(kind(golds, True).unionByName(kind(preds, False)))
+
+
+def scores(both: DataFrame) -> DataFrame:
+    """``metrics`` of golds and predictions in one table (label, is_gold, hit), which is read once."""
+    gold, hit = F.col("is_gold"), F.col("hit")
+    both = both.select("label", (gold & hit).cast("int").alias("tp"), (~gold & ~hit).cast("int").alias("fp"), (gold & ~hit).cast("int").alias("fn"))
     out = both.rollup("label").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
     return out.select("label", "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")), (F.col("tp") + F.col("fn")).alias("support"))
 
@@ -157,24 +167,66 @@ def strict_match(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame
     return mark(g, p), mark(p, g)
 
 
-def _soft(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["start", "end"], kind="stable").reset_index(drop=True)
-    gold, pred = rows[rows["is_gold"]], rows[~rows["is_gold"]]
-    hit = pd.Series(False, index=rows.index)
-    for g in gold.itertuples():
-        for p in pred.itertuples():
-            if not hit[p.Index] and p.label == g.label and p.start < g.end and g.start < p.end:
-                hit[p.Index] = hit[g.Index] = True
-                break
-    return rows.assign(hit=hit)
-
-
-def soft_match(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One to one, greedy from left to right, where labels are equal and spans overlap."""
+def _soft(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by row, label, start and end, with ``hit``. A span goes to the first waiting one of the other kind that it
+    overlaps, else it waits; one that ends before a later one of the other kind begins waits no more. Each span is looked at
+    once and leaves once, and batches leave when none of their spans waits."""
+    held: dict[int, tuple[pa.RecordBatch, bytearray]] = {}
+    waiting = {True: deque(), False: deque()}  # golds and predictions: start, end, batch, place
+    group, last = 0, None
+    for n, batch in enumerate(batches):
+        if not batch.num_rows:
+            continue
+        keys, starts, ends = (batch.column(k) for k in ("row_id", "label")), batch.column("start"), batch.column("end")
+        keys = [k.dictionary_encode(null_encoding="encode") for k in keys]
+        new = np.any([np.diff(k.indices.to_numpy(zero_copy_only=False), prepend=k.indices[0].as_py()) != 0 for k in keys], axis=0)
+        at = lambda i: [k[i].as_py() for k in keys]
+        new[0] = last is None or at(0) != last
+        last, groups = at(batch.num_rows - 1), group + np.cumsum(new)
+        whole = (starts.is_valid().to_numpy(zero_copy_only=False) & ends.is_valid().to_numpy(zero_copy_only=False)).nonzero()[0]
+        columns = [groups, batch.column("is_gold").to_numpy(zero_copy_only=False), *(pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (starts, ends))]
+        hits = bytearray(batch.num_rows)
+        held[n] = batch, hits
+        for i, of, gold, start, end in zip(whole.tolist(), *(c[whole].tolist() for c in columns)):
+            if of != group:
+                group = of
+                waiting[True].clear()
+                waiting[False].clear()
+            others = waiting[not gold]
+            while others and others[0][1] <= start:
+                others.popleft()
+            if others and others[0][0] < end:
+                _, _, m, k = others.popleft()
+                held[m][1][k] = hits[i] = 1
+            else:
+                waiting[gold].append((start, end, n, i))
+        if group != groups[-1]:  # the last group's spans have no place
+            group = int(groups[-1])
+            waiting[True].clear()
+            waiting[False].clear()
+        first = min((w[0][2] for w in waiting.values() if w), default=n + 1)
+        for m in [m for m in held if m < first]:
+            yield _with_hits(*held.pop(m))
+    for rows in held.values():
+        yield _with_hits(*rows)
+
+
+def _with_hits(batch: pa.RecordBatch, hits: bytearray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.frombuffer(hits, dtype=bool))], names=[*batch.schema.names, "hit"])
+
+
+def soft_hits(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """One to one, greedy from left to right, where labels are equal and spans overlap: (row_id, label, start, end, is_gold,
+    hit). Labels don't compete, so each one's spans of a row are read once, in order, however many they are."""
     cols = ["row_id", "label", "start", "end"]
     both = gold.select(*cols, F.lit(True).alias("is_gold")).unionByName(pred.select(*cols, F.lit(False).alias("is_gold")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema)
-    out = both.groupBy("row_id").applyInPandas(_soft, f"{kinds}, hit boolean")
+    return both.repartition("row_id", "label").sortWithinPartitions(*cols).mapInArrow(_soft, f"{kinds}, hit boolean")
+
+
+def soft_match(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``soft_hits`` of golds and of predictions."""
+    out = soft_hits(gold, pred)
     return out.filter("is_gold").drop("is_gold"), out.filter("not is_gold").drop("is_gold")
 
 

@@ -109,6 +109,28 @@ def test_matchers_against_loops(spark):
     assert total.tp + total.fn == len(gold)
 
 
+def test_soft_matches_of_a_row_with_very_many_spans_take_one_pass():
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    loop = lambda golds, preds: [next((j for j in range(len(preds)) if preds[j][2] and preds[j][0] < e and s < preds[j][1] and not preds[j].__setitem__(2, False)), None) is not None for s, e in golds]
+    for size in (3, 60, 3000):  # spans of no length, too; batches cut groups anywhere
+        rows = sorted((r, rng.choice(["A", None]) or "", a := rng.randint(0, size), a + rng.randint(0, 6), rng.random() < 0.5) for r in range(3) for _ in range(size))
+        table = pa.Table.from_pylist([dict(zip(("row_id", "label", "start", "end", "is_gold"), (r, k or None, *x))) for r, k, *x in rows])
+        out = [x for b in E._soft(table.to_batches(max_chunksize=7)) for x in b.to_pylist()]
+        assert [tuple(x.values())[:5] for x in out] == [(r, k or None, *x) for r, k, *x in rows]
+        for key in {x[:2] for x in rows}:
+            mine = [x for x in out if (x["row_id"], x["label"] or "") == key]
+            preds = [[x["start"], x["end"], True] for x in mine if not x["is_gold"]]
+            assert [x["hit"] for x in mine if x["is_gold"]] == loop([(x["start"], x["end"]) for x in mine if x["is_gold"]], preds)
+            assert [x["hit"] for x in mine if not x["is_gold"]] == [not free for _, _, free in preds]
+    n, began = 100_000, time.time()
+    table = pa.table({"row_id": [1] * 2 * n, "label": ["A"] * 2 * n, "start": [i // 2 * 3 for i in range(2 * n)], "end": [i // 2 * 3 + 2 for i in range(2 * n)], "is_gold": [i % 2 == 0 for i in range(2 * n)]})
+    assert all(pa.Table.from_batches(E._soft(table.to_batches(max_chunksize=10_000)))["hit"].to_pylist()) and time.time() - began < 30
+
+
 def test_neighbours_and_offsets(spark):
     rows = spark.createDataFrame([("Москва, ул. Ленина, д. 5", [(0, 6, "ADDRESS"), (12, 18, "ADDRESS"), (23, 24, "ADDRESS"), (23, 24, "OTHER")])], "t string, s array<struct<start:int,end:int,label:string>>")
     assert [tuple(x) for x in rows.select(E.merge_neighbours(F.col("s"), F.col("t")).alias("m")).first().m] == [(0, 24, "ADDRESS"), (23, 24, "OTHER")]
