@@ -10,6 +10,8 @@ U = "(?U)"
 # --- Fixed values: characters that normalisation replaces one for one.
 SPACES = "\u00a0\u202f\u2009\u2007\u2060\t"
 DASHES = "\u2014\u2013\u2010\u2011\u2012\u2212"
+#: Characters among which all of them are.
+MAYBE_UNSAFE = "[\\t\u00a0\u2007-\u2212]"
 REMOVED = "[\u00ad\u200b\u200c\u200d\ufeff]"
 
 # --- Fixed values: number words.
@@ -34,6 +36,9 @@ TRANSLIT_STOPWORDS = "ya menya mne moj moya moyo moi tvoj vash nomer zovut iz go
 ENGLISH_STOPWORDS = "the and is are was were have has had will would should could this that these those with from your you their there here what when where which who whom about into over under than then them they she him her his its our for not but all any can may such been being does did".split()
 LATIN_WORD = r"[A-Za-z'`]+"
 TRANSLIT_WORD_MAX = 20
+MAYBE_STRUCTURAL = r"[@=+]|://|www\.|[A-Za-z0-9/]{21}"
+#: With all that fold to Cyrillic letters.
+MAYBE_CYRILLIC = "[\u0400-\u052f\u1c80-\u1c8f]"
 STRUCTURAL = r"(?U)\S*[@=+]\S*|(?:https?://|www\.)\S+|[A-Za-z0-9/]{21,}"
 
 # --- Fixed values: keyword patterns by family.

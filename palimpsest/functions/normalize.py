@@ -4,17 +4,18 @@ sees only texts with a number word, and the transliteration test natively."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from . import fixed as X
-from .spanx import clean, matches, part
+from .spanx import clean, matches, once, part
 
 
 def safe(text: Column) -> Column:
-    """Space-like characters and dashes, one for one: the length stays."""
-    return F.translate(text, X.SPACES + X.DASHES, " " * len(X.SPACES) + "-" * len(X.DASHES))
+    """Space-like characters and dashes, one for one: the length stays. Only texts with such a character are translated."""
+    return F.when(text.rlike(X.MAYBE_UNSAFE), F.translate(text, X.SPACES + X.DASHES, " " * len(X.SPACES) + "-" * len(X.DASHES))).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -149,24 +150,37 @@ def _where(text: Column, needed: Column, udf) -> Column:
     return F.coalesce(udf(F.when(needed, text)), text)
 
 
+def normalising(english: bool = True) -> list[Callable[[Column], Column]]:
+    """The steps of ``normalise``, each of which reads its text several times. Texts without a Cyrillic letter have no Russian number."""
+    steps = [lambda t: squeeze(safe(clean(t))), lambda t: _where(t, t.rlike(X.MAYBE_CYRILLIC) & t.rlike(HAS_RUSSIAN), _russian)]
+    return [*steps, lambda t: _where(t, t.rlike(HAS_ENGLISH), _english)] if english else steps
+
+
 def normalise(text: Column, english: bool = True) -> Column:
     """Null: empty. Offsets of all results index this text."""
-    out = squeeze(safe(clean(text)))
-    out = _where(out, out.rlike(HAS_RUSSIAN), _russian)
-    return _where(out, out.rlike(HAS_ENGLISH), _english) if english else out
+    for step in normalising(english):
+        text = step(text)
+    return text
 
 
 def looks_like_translit(text: Column) -> Column:
     """Russian written in Latin letters: enough Latin words, more Latin than Cyrillic letters,
     a telling word or letter pair, and not plainly English."""
-    t = F.regexp_replace(text, X.STRUCTURAL, " ")
-    words = F.transform(F.filter(matches(t, X.LATIN_WORD), lambda m: F.char_length(m["text"]) <= X.TRANSLIT_WORD_MAX), lambda m: F.lower(m["text"]))
-    count = lambda ws: F.size(F.filter(words, lambda w: w.isin(ws)))
-    pairs = F.exists(words, lambda w: w.rlike("|".join(X.TRANSLIT_HINTS)))
-    latin = F.char_length(F.regexp_replace(t, "[^A-Za-z]", ""))
-    cyrillic = F.char_length(F.regexp_replace(t, "[^а-яА-ЯёЁ]", ""))
-    english, russian = count(X.ENGLISH_STOPWORDS), count(X.TRANSLIT_STOPWORDS)
-    return (F.size(words) >= 2) & (latin > cyrillic) & ~((english >= 2) & (english > russian)) & ((russian >= 1) | pairs)
+    few = F.when(text.rlike(X.MAYBE_STRUCTURAL), F.regexp_replace(text, X.STRUCTURAL, " ")).otherwise(text)
+    count = lambda words, ws: F.size(F.filter(words, lambda w: w.isin(ws)))
+
+    def counted(words: Column) -> Column:
+        pairs = F.exists(words, lambda w: w.rlike("|".join(X.TRANSLIT_HINTS)))
+        return F.struct(F.size(words).alias("n"), count(words, X.ENGLISH_STOPWORDS).alias("english"), count(words, X.TRANSLIT_STOPWORDS).alias("russian"), pairs.alias("pairs"))
+
+    def judged(t: Column) -> Column:
+        latin = F.char_length(F.regexp_replace(t, "[^A-Za-z]+", ""))
+        cyrillic = F.char_length(F.regexp_replace(t, "[^а-яА-ЯёЁ]+", ""))
+        words = F.transform(F.filter(F.regexp_extract_all(t, F.lit(X.LATIN_WORD), F.lit(0)), lambda w: F.char_length(w) <= X.TRANSLIT_WORD_MAX), F.lower)
+        told = lambda c: (c["n"] >= 2) & ~((c["english"] >= 2) & (c["english"] > c["russian"])) & ((c["russian"] >= 1) | c["pairs"])
+        return (latin > cyrillic) & once(once(words, counted), told)
+
+    return once(few, judged)
 
 
 _LATIN, _STRUCTURE = re.compile(X.LATIN_WORD), re.compile(X.STRUCTURAL.removeprefix("(?U)"))

@@ -39,8 +39,14 @@ def settle(rows: DataFrame) -> DataFrame:
 
 
 def clean(text: Column) -> Column:
-    """Text without the private characters (null: empty)."""
-    return F.translate(F.coalesce(text, F.lit("")), OPEN + SHUT, "")
+    """Text without the private characters (null: empty). Few texts have one; translating is slow."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.when(F.contains(whole, F.lit(OPEN)) | F.contains(whole, F.lit(SHUT)), F.translate(whole, OPEN + SHUT, "")).otherwise(whole)
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)``, where ``value`` is computed once: as the one element of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 #: Matches of a text that are folded at once.
@@ -68,9 +74,7 @@ def matches(text: Column, pattern: str) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), last - 1, F.lit(2 * FOLD)), pairs)
         return F.aggregate(blocks, F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{MATCH}>").alias("out")), block, lambda a: F.flatten(a["out"]))
 
-    # The pieces are computed once, as the one element of an array.
-    found = F.get(F.transform(F.array(parts), folded), F.lit(0))
-    return F.when(text.rlike(pattern), found).when(text.isNotNull(), F.array().cast(MATCH))
+    return F.when(text.rlike(pattern), once(parts, folded)).when(text.isNotNull(), F.array().cast(MATCH))
 
 
 _BUILT: dict = {}

@@ -174,13 +174,14 @@ def default_catalog() -> Catalog:
 
 def candidates(text: Column, patterns: tuple[str, ...] = tuple(X.CANDIDATES)) -> Column:
     """Matches of all patterns in pattern order, each span once (the first pattern has it)."""
-    digits = F.char_length(F.regexp_replace(text, r"(?U)\D", "")) >= 6
+    digits = text.rlike(r"(?U)(?:\d\D*+){5}\d")
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    found = [F.when(F.contains(text, F.lit("@")) if "@[A-Za-z]" in p else digits, matches(text, p)).otherwise(none) for p in patterns]
-    every = F.flatten(F.array(*found))
+    at_sign = [F.when(F.contains(text, F.lit("@")), matches(text, p)).otherwise(none) if "@[A-Za-z]" in p else None for p in patterns]
+    found = [matches(text, p) if a is None else a for p, a in zip(patterns, at_sign)]
+    every = F.flatten(F.when(digits, F.array(*found)).otherwise(F.array(none, *[a for a in at_sign if a is not None])))
     zero = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    once = F.aggregate(every, zero, lambda acc, m: F.when(F.exists(acc, lambda k: same(k, m)), acc).otherwise(F.array_append(acc, m)))
-    return F.transform(once, lambda m, i: F.struct(i.cast("int").alias("ord"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("raw")))
+    fresh = F.aggregate(every, zero, lambda acc, m: F.when(F.exists(acc, lambda k: same(k, m)), acc).otherwise(F.array_append(acc, m)))
+    return F.transform(fresh, lambda m, i: F.struct(i.cast("int").alias("ord"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("raw")))
 
 
 def data_spans(raw: Column) -> Column:
@@ -279,6 +280,14 @@ def pattern_column(text: str, catalog: Catalog) -> Column:
     return pattern_spans(F.col(text), catalog)
 
 
+def _numbers_each(texts: str, catalog: Catalog) -> Column:
+    return F.transform(texts, lambda t: number_spans(t, catalog))
+
+
+def _patterns_each(texts: str, catalog: Catalog) -> Column:
+    return F.transform(texts, lambda t: pattern_spans(t, catalog))
+
+
 def _sorted(numbers: Column, patterns: Column) -> Column:
     return F.array_sort(F.concat(numbers.cast(SPANS), patterns.cast(SPANS)))
 
@@ -290,17 +299,16 @@ def rule_spans(rows: DataFrame, text: str, out: str, catalog: Catalog) -> DataFr
     return settle(rows.withColumn(out, _sorted(F.col("_numbers"), built(pattern_column, text, catalog)))).drop("_safe", "_numbers")
 
 
-#: Between texts that are read as one: more than the widest context on either side.
-APART = "\n" + "\ue002" * 600 + "\n"
-
-
 def _moved(s: Column, start: Column, end: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), s["entity_type"].alias("entity_type"), s["score"].alias("score"), s["branch"].alias("branch"))
 
 
 def normalised(docs: DataFrame, english: bool = True) -> DataFrame:
     """doc_id, text, norm."""
-    return docs.select("doc_id", "text", N.normalise(F.col("text"), english).alias("norm"))
+    rows = docs.select("doc_id", "text", F.col("text").alias("norm"))
+    for step in N.normalising(english):
+        rows = settle(rows.withColumn("norm", step(F.col("norm"))))
+    return rows
 
 
 def _all_texts(rows: DataFrame, catalog: Catalog, translit: bool) -> DataFrame:
@@ -309,21 +317,13 @@ def _all_texts(rows: DataFrame, catalog: Catalog, translit: bool) -> DataFrame:
     rows = settle(rows.withColumn("blanked", N.blank_out(F.col("work"), F.col("blobs"))))
     rows = settle(rows.withColumn("latin", N.looks_like_translit(F.col("blanked")) if translit else F.lit(False)))
     rows = settle(rows.withColumn("cyr", N.to_cyrillic(F.col("blanked"), F.col("latin"))))
-    # All texts of a row are read as one, apart by more than any context reaches.
     source = F.when(F.col("latin"), F.col("blanked")).otherwise(F.col("work"))
     texts = F.concat(F.array(source), F.when(F.col("latin"), F.array(F.col("cyr.text"))).otherwise(F.array().cast("array<string>")), F.transform("blobs", lambda b: b["decoded"]))
     rows = settle(rows.withColumn("texts", texts))
-    rows = settle(rows.withColumn("joined", F.array_join("texts", APART)))
-    rows = rule_spans(rows, "joined", "found", catalog)
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPANS}>").alias("out"))
-
-    def own(a: Column, t: Column) -> Column:
-        end = a["pos"] + F.char_length(t)
-        here = F.filter(F.col("found"), lambda s: (s["start"] >= a["pos"]) & (s["end"] <= end))
-        here = F.transform(here, lambda s: _moved(s, s["start"] - a["pos"], s["end"] - a["pos"]))
-        return F.struct((end + len(APART)).cast("int").alias("pos"), F.array_append(a["out"], here.cast(SPANS)).alias("out"))
-
-    rows = settle(rows.withColumn("by_text", F.aggregate("texts", zero, own, lambda a: a["out"])))
+    rows = settle(rows.withColumn("_safe", F.transform("texts", N.safe)))
+    rows = settle(rows.withColumn("_numbers", built(_numbers_each, "_safe", catalog)))
+    rows = settle(rows.withColumn("_patterns", built(_patterns_each, "texts", catalog)))
+    rows = settle(rows.withColumn("by_text", F.zip_with("_numbers", "_patterns", _sorted))).drop("_safe", "_numbers", "_patterns")
     back = F.transform(F.get("by_text", F.lit(1)), lambda s: F.struct(N.source_span(F.col("cyr.pieces"), s["start"], s["end"]).alias("at"), s.alias("s")))
     rows = settle(rows.withColumn("back", F.when(F.col("latin"), F.filter(back, lambda x: x["at"].isNotNull()))))
     rows = settle(rows.withColumn("back", F.coalesce(F.transform("back", lambda x: _moved(x["s"], x["at"]["start"], x["at"]["end"])).cast(SPANS), empty)))
@@ -347,7 +347,7 @@ def detect(docs: DataFrame, catalog: Catalog | None = None, *, model: DataFrame
 
 
 def _detect(docs: DataFrame, catalog: Catalog, model: DataFrame | None, translit: bool, english: bool, base64: bool) -> DataFrame:
-    rows = settle(normalised(docs, english))
+    rows = normalised(docs, english)
     none, empty = F.array().cast("array<struct<start:int,end:int,decoded:string>>"), F.array().cast(SPANS)
     rows = settle(rows.withColumn("blobs", N.base64_blobs(F.col("norm")) if base64 else none))
     size = F.aggregate(F.col("blobs"), F.lit(0), lambda a, b: a + F.char_length(b["decoded"]))

@@ -97,9 +97,20 @@ def gold_sql(name: str) -> str:
     return f'select {KEY} as doc_id, cast({at} as int) as "start", cast({at} + length({value}) as int) as "end", \'{kind}\' as entity_type, {value} as value from customer'
 
 
+#: Tasks for each split of a file of keys.
+SPREAD = 16
+
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of ``customer``, dealt to more tasks than the file has splits: a key takes a few bytes, detection in its text
+    takes most of a millisecond, so a split that is small to read is long to work on."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return rows.repartition(SPREAD * max(rows.rdd.getNumPartitions(), 1))
+
+
 def docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     before, value, after, _ = PLANTED[name]
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    rows = keys(spark, sf_dir)
     return rows.selectExpr(f"{KEY} as doc_id", f"concat('{before}', {value}, '{after}') as text")
 
 

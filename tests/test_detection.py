@@ -55,6 +55,28 @@ def test_too_much_base64_is_refused_as_a_whole(spark):
     assert got[1].rejected and not got[1].spans and not got[2].rejected and len(got[2].spans) == 2
 
 
+def test_a_text_with_base64_is_read_as_it_is_without(spark):
+    at_its_end = "дата 12.01.2004-91"  # a pattern asks whether the text ends there
+    docs = spark.createDataFrame([(1, at_its_end), (2, f"{B64} {at_its_end}")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.entity_type, r.value) for r in long_spans(detect(docs)).collect())
+    assert got == [(1, "DATE_TIME", "12.01.2004"), (2, "DATE_TIME", "12.01.2004"), (2, "PASSPORT", B64)]
+
+
+@pytest.mark.parametrize("name", ["base64_children"])
+def test_keys_of_one_small_file_are_dealt_to_many_tasks(spark, tmp_path, name):
+    import duckdb
+
+    from palimpsest import queries
+    from palimpsest.plans import planted
+
+    spark.range(1, 101).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = queries.QUERIES[name](spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() >= planted.SPREAD > 1
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(map(tuple, rows.collect())) == sorted(con.sql(queries.ORACLE[name]).fetchall())
+
+
 def test_offsets_count_code_points(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choice("a1 é😀́\n") for _ in range(60)) for _ in range(50)] + [None, ""]
