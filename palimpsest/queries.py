@@ -170,7 +170,7 @@ def base64_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("transliterated", f"select {planted.KEY} as doc_id, 'PASSPORT' as entity_type, concat('45', {planted.stem(8)}) as value from customer")
 def transliterated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Russian in Latin letters: found in Cyrillic, placed in the source."""
-    rows = table(spark, sf_dir, "customer").selectExpr(f"{planted.KEY} as doc_id", f"concat('moj pasport ', concat('45', {planted.stem(8)}), ' vydan v gorode') as text")
+    rows = planted.keys(spark, sf_dir).selectExpr(f"{planted.KEY} as doc_id", f"concat('moj pasport ', concat('45', {planted.stem(8)}), ' vydan v gorode') as text")
     return long_spans(detect(rows, english=False, base64=False)).select("doc_id", "entity_type", "value")
 
 

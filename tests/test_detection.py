@@ -62,7 +62,7 @@ def test_a_text_with_base64_is_read_as_it_is_without(spark):
     assert got == [(1, "DATE_TIME", "12.01.2004"), (2, "DATE_TIME", "12.01.2004"), (2, "PASSPORT", B64)]
 
 
-@pytest.mark.parametrize("name", ["base64_children"])
+@pytest.mark.parametrize("name", ["base64_children", "transliterated"])
 def test_keys_of_one_small_file_are_dealt_to_many_tasks(spark, tmp_path, name):
     import duckdb
 
