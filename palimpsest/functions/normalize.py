@@ -4,9 +4,14 @@ sees only texts with a number word, and the transliteration test natively."""
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from . import fixed as X
@@ -124,7 +129,8 @@ RUSSIAN = NumberWords(
 )
 ENGLISH = NumberWords(X.EN_DIGITS, X.EN_TEENS, X.EN_TENS, {}, ("thousand",), hundred="hundred", joiner="and", gap=r"[\s,\-]+", spoken_only=X.EN_SPOKEN_ONLY)
 HAS_RUSSIAN = r"(?iuU)\b(?:" + "|".join([*X.RU_DIGITS, *X.RU_TEENS, *X.RU_TENS, *X.RU_HUNDREDS, *X.RU_THOUSANDS]) + r")\b"
-HAS_ENGLISH = r"(?i)\b(?:" + "|".join([*X.EN_DIGITS, *X.EN_TEENS, *X.EN_TENS, "hundred", "thousand"]) + r")\b"
+_EN_WORDS = [*X.EN_DIGITS, *X.EN_TEENS, *X.EN_TENS, "hundred", "thousand"]
+HAS_ENGLISH = rf"(?i)(?=[{''.join(sorted({w[0] for w in _EN_WORDS}))}])\b(?:{'|'.join(_EN_WORDS)})\b"  # a first letter is told sooner than a word's edge
 
 
 def russian_numbers(text: str) -> str:
@@ -136,24 +142,22 @@ def english_numbers(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _russian(texts: pd.Series) -> pd.Series:
-    return texts.map(russian_numbers, na_action="ignore")
+def _spelled(texts: pd.Series, russian: pd.Series, english: pd.Series) -> pd.Series:
+    """Russian numbers, then English ones, in one worker; texts with neither come as nulls."""
+    read = lambda t, r, e: None if t is None else (english_numbers if e else str)((russian_numbers if r else str)(t))
+    return pd.Series([read(*x) for x in zip(texts, russian, english)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def _english(texts: pd.Series) -> pd.Series:
-    return texts.map(english_numbers, na_action="ignore")
-
-
-def _where(text: Column, needed: Column, udf) -> Column:
-    """The UDF's result where it is needed; other rows send it nulls."""
-    return F.coalesce(udf(F.when(needed, text)), text)
+def numbers_in_words(text: Column, english: bool = True) -> Column:
+    """Runs of Russian number words end at words' edges, so whether there are English ones is known before they are read.
+    Texts without a Cyrillic letter have no Russian ones."""
+    russian, english_ = text.rlike(X.MAYBE_CYRILLIC) & text.rlike(HAS_RUSSIAN), text.rlike(HAS_ENGLISH) if english else F.lit(False)
+    return F.coalesce(_spelled(F.when(russian | english_, text), russian, english_), text)
 
 
 def normalising(english: bool = True) -> list[Callable[[Column], Column]]:
-    """The steps of ``normalise``, each of which reads its text several times. Texts without a Cyrillic letter have no Russian number."""
-    steps = [lambda t: squeeze(safe(clean(t))), lambda t: _where(t, t.rlike(X.MAYBE_CYRILLIC) & t.rlike(HAS_RUSSIAN), _russian)]
-    return [*steps, lambda t: _where(t, t.rlike(HAS_ENGLISH), _english)] if english else steps
+    """The steps of ``normalise``; the second reads its text several times."""
+    return [lambda t: squeeze(safe(clean(t))), lambda t: numbers_in_words(t, english)]
 
 
 def normalise(text: Column, english: bool = True) -> Column:
@@ -187,17 +191,23 @@ _LATIN, _STRUCTURE = re.compile(X.LATIN_WORD), re.compile(X.STRUCTURAL.removepre
 _PAIR = re.compile("|".join(map(re.escape, X.TRANSLIT)), re.I)
 
 
+@lru_cache(maxsize=1 << 15)
+def _cyrillic_word(word: str) -> str:
+    return _PAIR.sub(lambda m: (lambda c: c[:1].upper() + c[1:] if m[0][0].isupper() else c)(X.TRANSLIT[m[0].lower()]), word)
+
+
 def cyrillic(text: str) -> tuple[str, list[tuple[int, int, int, int, bool]]]:
     """Latin words in Cyrillic, and the pieces (to, to_end, from, from_end, as it was)."""
     fixed = [m.span() for m in _STRUCTURE.finditer(text)]
-    letter = lambda m: (lambda c: c[:1].upper() + c[1:] if m[0][0].isupper() else c)(X.TRANSLIT[m[0].lower()])
-    out, pieces, size = [], [], 0
+    out, pieces, size, at = [], [], 0, 0
     edges = [0, *(x for m in _LATIN.finditer(text) for x in m.span()), len(text)]
     for k, (a, b) in enumerate(zip(edges, edges[1:])):
         if a == b:
             continue
-        word = k % 2 == 1 and not any(s < b and a < e for s, e in fixed)
-        new = _PAIR.sub(letter, text[a:b]) if word else text[a:b]
+        while at < len(fixed) and fixed[at][1] <= a:
+            at += 1
+        word = k % 2 == 1 and not (at < len(fixed) and fixed[at][0] < b)
+        new = text[a:b] if not word else _cyrillic_word(text[a:b]) if b - a <= X.TRANSLIT_WORD_MAX else _cyrillic_word.__wrapped__(text[a:b])
         pieces.append((size, size + len(new), a, b, not word))
         out.append(new)
         size += len(new)
@@ -208,11 +218,23 @@ _PIECE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("to", "to_end
 CYRILLIC = T.StructType([T.StructField("text", T.StringType()), T.StructField("pieces", T.ArrayType(_PIECE))])
 
 
-@F.pandas_udf(CYRILLIC)
-def _cyrillic(texts: pd.Series) -> pd.DataFrame:
-    rows = [cyrillic(t) if isinstance(t, str) else (None, None) for t in texts]
-    keys = ("to", "to_end", "at", "at_end", "as_is")
-    return pd.DataFrame({"text": [r[0] for r in rows], "pieces": [None if r[1] is None else [dict(zip(keys, p)) for p in r[1]] for r in rows]})
+def cyrillic_column(texts: pa.Array) -> pa.StructArray:
+    """``cyrillic`` of each text. Pieces go to one flat array of numbers: as objects those of a batch take a gigabyte."""
+    out, ends, flat = [], [0], array("i")
+    for t in texts:
+        new, pieces = cyrillic(t.as_py()) if t.is_valid else (None, [])
+        out.append(new)
+        flat.extend(chain.from_iterable(pieces))
+        ends.append(len(flat) // 5)
+    numbers = np.frombuffer(flat, dtype=np.int32).reshape(-1, 5)
+    columns = [pa.array(np.ascontiguousarray(numbers[:, k])) for k in range(4)] + [pa.array(numbers[:, 4] != 0)]
+    pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["to", "to_end", "at", "at_end", "as_is"]))
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pieces], names=["text", "pieces"])
+
+
+@F.arrow_udf(CYRILLIC)
+def _cyrillic(texts: pa.Array) -> pa.Array:
+    return cyrillic_column(texts)
 
 
 def to_cyrillic(text: Column, needed: Column) -> Column:

@@ -14,7 +14,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import checks, context as C, fixed as X, normalize as N
-from ..functions.spanx import SPANS, built, matches, part, same, settle, uncaptured, without_overlap
+from ..functions.spanx import SPANS, built, matches, once, part, same, settle, uncaptured, without_overlap
 from . import resolve
 
 Rule = Callable[[Column], Column]  # candidate -> struct(score, entity_type) or null
@@ -263,13 +263,15 @@ def pattern_spans(text: Column, catalog: Catalog) -> Column:
     """Spans of the pattern rules. Of one type's spans that lie within one another or are
     equal, one with the higher score stays."""
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    digit = text.rlike(r"(?U)\d")
-    guard = {"EMAIL_ADDRESS": F.contains(text, F.lit("@")), "IP_PORT": F.contains(text, F.lit(":")) & digit, "DATE_TIME": digit, "IP_ADDRESS": digit}
+    asked = F.struct(text.rlike(r"(?U)\d").alias("digit"), F.contains(text, F.lit("@")).alias("at"), F.contains(text, F.lit(":")).alias("colon"))
     def named(kind: str, score: float):
         return lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("entity_type"), F.lit(score).alias("score"), F.lit("rules").alias("branch"))
 
-    found = [F.transform(F.when(guard.get(kind, F.lit(True)), matches(text, p)).otherwise(none), named(kind, score)) for kind, score, p in catalog.patterns]
-    return F.array_distinct(F.flatten(F.array(*found)))
+    def found(has: Column) -> Column:
+        guard = {"EMAIL_ADDRESS": has["at"], "IP_PORT": has["colon"] & has["digit"], "DATE_TIME": has["digit"], "IP_ADDRESS": has["digit"]}
+        return F.array(*[F.transform(F.when(guard.get(kind, F.lit(True)), matches(text, p)).otherwise(none), named(kind, score)) for kind, score, p in catalog.patterns])
+
+    return F.array_distinct(F.flatten(once(asked, found)))
 
 
 def _numbers(text: str, catalog: Catalog) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import checks, fixed, normalize as N
 from palimpsest.functions.spanx import SPANS, best_first, clean, matches
 from palimpsest.operators import resolve
-from palimpsest.operators.detect import Catalog, data_spans, detect, long_spans
+from palimpsest.operators.detect import Catalog, data_spans, detect, long_spans, normalised, pattern_column
 from palimpsest.operators.render import render
 
 B64 = "0L/QsNGB0L/QvtGA0YIg0YHQtdGA0LjRjyA0NTA5INC90L7QvNC10YAgMTIzNDU2"
@@ -140,6 +140,38 @@ def test_numbers_in_words(given, want):
     assert N.english_numbers(N.russian_numbers(text)) == want
 
 
+def test_what_looks_like_transliteration_matches_a_loop_and_cuts_words_once(spark):
+    rng = random.Random(4)
+    pool = ["the", "and", "with", "Moj", "iz", "zhivu", "shkola", "abc", "Zz'", "слово", "и", "a@b.ru", "x=y", "https://a/ya", "www.ya", "ya" * 11, "A1b2" * 6, "12", "йод"]
+    texts = ["", *[" ".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(400)]]
+
+    def loop(text):
+        t = re.sub(fixed.STRUCTURAL.removeprefix("(?U)"), " ", text)
+        words = [w.lower() for w in re.findall(fixed.LATIN_WORD, t) if len(w) <= fixed.TRANSLIT_WORD_MAX]
+        latin, cyrillic = len(re.findall("[A-Za-z]", t)), len(re.findall("[а-яА-ЯёЁ]", t))
+        english, russian = (sum(w in ws for w in words) for ws in (fixed.ENGLISH_STOPWORDS, fixed.TRANSLIT_STOPWORDS))
+        hints = any(h in w for w in words for h in fixed.TRANSLIT_HINTS)
+        return len(words) >= 2 and latin > cyrillic and not (english >= 2 and english > russian) and (russian >= 1 or hints)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.looks_like_translit(F.col("t")).alias("v"))
+    got = [(r.t, r.v) for r in rows.collect()]
+    assert got == [(t, loop(t)) for t in texts] and len({v for _, v in got}) == 2
+    assert rows._jdf.queryExecution().analyzed().toString().count(fixed.LATIN_WORD) == 1
+
+
+def test_a_text_is_asked_for_digits_once_for_all_patterns(spark):
+    rows = spark.createDataFrame([("",)], "t string").select(pattern_column("t", Catalog()).alias("s"))
+    assert rows._jdf.queryExecution().analyzed().toString().count(r"(?U)\d") == 1
+
+
+def test_numbers_of_both_languages_are_read_by_one_worker(spark):
+    texts = ["код один два три четыре five and twenty two, сто двадцать три", "двадцать one", "plain", "", None, "сто", "two thousand"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.norm for r in normalised(rows).collect()}
+    assert got == {i: N.english_numbers(N.russian_numbers(t or "")) for i, t in enumerate(texts)}
+    assert normalised(rows)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_transliteration_and_its_way_back():
     assert N.cyrillic("Shcherbakova")[0] == "Щербакова"
     text = "Moj e-mail a@b.ru zhivu"
@@ -148,6 +180,22 @@ def test_transliteration_and_its_way_back():
     assert all(text[a:b] == out[x:y] for x, y, a, b, same in pieces if same)
 
 
+def test_pieces_of_a_batch_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = ["Moj e-mail a@b.ru zhivu", None, "", "x=1 ya www.ya.ru Shcherbakova " + "shch" * 9]
+    got = N.cyrillic_column(pa.array(texts, pa.string())).to_pylist()
+    keys = ("to", "to_end", "at", "at_end", "as_is")
+    assert got == [{"text": None, "pieces": []} if t is None else {"text": (c := N.cyrillic(t))[0], "pieces": [dict(zip(keys, p)) for p in c[1]]} for t in texts]
+    column = pa.array(["Moj dom na ulitse " * 200] * 200)  # 320,000 pieces
+    tracemalloc.start()
+    N.cyrillic_column(column)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("check, good, bad", [("inn10", "7715964180", "7715964181"), ("inn12", "500100732259", "500100732258"), ("snils", "11223344595", "11223344566"), ("luhn", "4111111111111111", "4111111111111112")])
 def test_check_digits(spark, check, good, bad):
     rows = spark.createDataFrame([(good, True), (bad, False), ("12", False), ("", False), ("x" * len(good), False)], "n string, y boolean")
