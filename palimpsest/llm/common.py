@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 from math import isqrt
@@ -98,6 +99,66 @@ def text_bytes(table: pa.Table) -> list[memoryview]:
     return [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
+#: What tasks of one operator keep in a Python worker for one another, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """A dict that a worker's tasks of one operator share; it is emptied when the worker gets another's."""
+    return _KEPT.setdefault(name, {})
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Spark keeps Python workers for the next stage, and what
+    they had once would count beside all that comes later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
+def _begin(keeps: str | None) -> None:
+    for name, held in _KEPT.items():
+        if name != keeps and held:
+            held.clear()
+            give_back()
+
+
+def tidy(f, keeps: str | None = None):
+    """``f`` over batches, in a worker that drops what other operators kept, and gives memory back at the task's end."""
+
+    def g(batches):
+        _begin(keeps)
+        yield from f(batches)
+        give_back()
+
+    return g
+
+
+def tidy_group(f):
+    """As ``tidy``, of a group's table."""
+
+    def g(table: pa.Table) -> pa.Table:
+        _begin(None)
+        out = f(table)
+        give_back()
+        return out
+
+    return g
+
+
+def tidy_pair(f):
+    """As ``tidy``, of the tables of two cogroups."""
+
+    def g(left: pa.Table, right: pa.Table) -> pa.Table:
+        _begin(None)
+        out = f(left, right)
+        give_back()
+        return out
+
+    return g
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, over a whole array."""
     h = h ^ (h >> np.uint64(33))

@@ -26,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpoint, slices, with_text
+from .common import checkpoint, kept, slices, tidy, with_text
 
 LIMIT = 4096
 #: The id after each document.
 END = 1
 #: Entries of either generation of a worker's cache of words.
 CACHE = 400_000
+#: Characters whose words a worker holds as objects at a time.
+AT_ONCE = 1 << 20
 #: Characters that are one lower-case character each in lower case, and stable in any normal form: Latin letters up to
 #: U+017F but for one that becomes two.
 _SIMPLE = re.compile("[\0-\u012f\u0131-\u017f]*").fullmatch
@@ -132,16 +134,14 @@ class WordEncoder:
         return [b"".join(map(get, s)) for s in split]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    held = kept("packing")
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
-def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document, cut only where it is longer."""
     tail = np.array([end], "<u4").tobytes()
 
@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
         code = encoder(path)
         while at < len(ids):
             to, total = at, 0
-            while to < len(ids) and total < 1 << 22:
+            while to < len(ids) and total < at_once:
                 total += len(texts[to])
                 to += 1
             for i, x in zip(ids[at:to], code.encode(texts[at:to])):
@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> Da
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return with_text(docs).mapInArrow(f, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return with_text(docs).mapInArrow(tidy(f, "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many sequences; (length, how often in each)
@@ -295,12 +295,13 @@ def pack(parts: DataFrame, limit: int = LIMIT) -> DataFrame:
             )
 
     names = [f.name for f in parts.schema if f.name != "bucket"]
-    return ranked.select(*names, "rank").mapInArrow(f, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name != "bucket") + ", sequence_id long, offset long")
+    return ranked.select(*names, "rank").mapInArrow(tidy(f, "packing"), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema if f.name != "bucket") + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(checkpoint(pieces(docs, path, limit, end)), limit)
+def pack_documents(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, at_once: int = AT_ONCE) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A larger ``at_once``
+    takes a little less time and more of a worker's memory."""
+    return pack(checkpoint(pieces(docs, path, limit, end, at_once)), limit)
 
 
 def lengths_fit(lengths: list[int], limit: int = LIMIT) -> int:

@@ -74,7 +74,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack_documents
 
-    return pack_documents(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+    return pack_documents(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), at_once=1 << 22)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunked, free_name, ids_of, mix, n_chunks, n_shards, text_bytes, with_text
+from .common import chunked, free_name, ids_of, mix, n_chunks, n_shards, text_bytes, tidy_group, tidy_pair, with_text
 
 WINDOW, GRAM = 50, 24
 SPAN = WINDOW - GRAM + 1
@@ -300,7 +300,7 @@ def _sort(table: pa.Table) -> pa.Table:
 
 def _gone(c: Chunk, answers: pa.Table) -> np.ndarray:
     """Which bytes of a chunk's buffer go."""
-    covered = np.zeros(len(c.buf) + 1, np.int32)
+    covered = np.zeros(WINDOW - 1 + len(c.buf), bool)  # from each place of a window that goes, after as many places as one can reach back
     if answers.num_rows and len(c.at):
         col = lambda n, t: np.concatenate([np.frombuffer(x, t) for x in answers[n].to_pylist()])
         h, check, owner, early, valid = col("hashes", _U), col("checks", np.uint16), col("owners", np.int64), col("early", np.uint32), col("valid", np.uint32)
@@ -317,9 +317,8 @@ def _gone(c: Chunk, answers: pa.Table) -> np.ndarray:
             i, p = i[hit], at[hit]
             bits = np.where(c.ids[c.doc[a : a + step][hit]] > owner[i], valid[i], early[i])
             for j in range(SPAN):
-                covered[p[(bits >> j) & 1 == 1] - (WINDOW - GRAM) + j] = 1
-    total = np.cumsum(covered)
-    return total[:-1] - np.concatenate([np.zeros(WINDOW, total.dtype), total[: -1 - WINDOW]]) > 0
+                covered[p[(bits >> j) & 1 == 1] + (GRAM - 1) + j] = True
+    return _sliding(covered, WINDOW, np.maximum)
 
 
 def _runs(gone: np.ndarray) -> list[list[int]]:
@@ -374,11 +373,11 @@ def _in_chunks(docs: DataFrame, finish, schema) -> DataFrame:
     chunks = n_chunks(docs)
     shards, name = n_shards(chunks), free_name("chunk", docs.columns)
     by_chunk = chunked(docs, chunks, name).groupBy(name)
-    asked = by_chunk.applyInArrow(_ask(shards, name), "shard int, chunk int, fps binary, several binary")
-    bits = asked.groupBy("shard").applyInArrow(_shared, "chunk int, shard int, bits binary")
-    sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(_send(shards, name), "shard int, chunk int, units binary, owners binary")
-    answers = sent.groupBy("shard").applyInArrow(_sort, "chunk int, hashes binary, checks binary, owners binary, early binary, valid binary")
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema)
+    asked = by_chunk.applyInArrow(tidy_group(_ask(shards, name)), "shard int, chunk int, fps binary, several binary")
+    bits = asked.groupBy("shard").applyInArrow(tidy_group(_shared), "chunk int, shard int, bits binary")
+    sent = by_chunk.cogroup(bits.groupBy("chunk")).applyInArrow(tidy_pair(_send(shards, name)), "shard int, chunk int, units binary, owners binary")
+    answers = sent.groupBy("shard").applyInArrow(tidy_group(_sort), "chunk int, hashes binary, checks binary, owners binary, early binary, valid binary")
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(tidy_pair(finish), schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpoint, components, connected_components, mix, slices, split_hot, text_bytes, with_text
+from .common import checkpoint, components, connected_components, mix, slices, split_hot, text_bytes, tidy, tidy_group, with_text
 from .exact_dedup import filter_words, may_contain
 
 RADIUS = 4
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, width: int = 4, second: bool = False, *more_co
             more = np.array([fingerprint(x, width, SEED + 1) if second else 0 for x in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(more.view(np.int64)), *map(b.column, more_columns)], names=["doc_id", "fp", "more", *more_columns])
 
-    return with_text(docs, *more_columns).mapInArrow(f, ", ".join(f"{c} long" for c in ("doc_id", "fp", "more", *more_columns)))
+    return with_text(docs, *more_columns).mapInArrow(tidy(f), ", ".join(f"{c} long" for c in ("doc_id", "fp", "more", *more_columns)))
 
 
 def choose_segments(n: int, radius: int) -> int:
@@ -195,7 +195,7 @@ def links(points: DataFrame, radius: int = RADIUS, both: int = 128, cell: int =
     points: distinct (fp, more, node)."""
     n = points.count()
     count = choose_segments(n, radius)
-    return _meet(points.mapInArrow(_entries(count, radius), _ENTRY), int(n * entries_each(count, radius)), radius, both, cell)
+    return _meet(points.mapInArrow(tidy(_entries(count, radius)), _ENTRY), int(n * entries_each(count, radius)), radius, both, cell)
 
 
 def _meet(entries: DataFrame, n: int, radius: int, both: int, cell: int = CELL) -> DataFrame:
@@ -208,7 +208,7 @@ def _meet(entries: DataFrame, n: int, radius: int, both: int, cell: int = CELL)
     met = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("fp", "more", "node", "member", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("part"))
     shards = int(max(32, n // 200_000))
-    return met.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_verify(radius, both), "a long, b long")
+    return met.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(tidy_group(_verify(radius, both)), "a long, b long")
 
 
 def hex_of(fp: Column) -> Column:
@@ -346,10 +346,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def similar_classes(docs: DataFrame, width: int, similar: tuple[int, int], block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Per row: doc_id, key, node (one for a set of shingles) and root (of the node's class)."""
-    rows = checkpoint(with_text(_keyed(docs), "key").mapInArrow(_sketches(width), "doc_id long, key long, node long, fp long, more long, size long, cells binary"))
+    rows = checkpoint(with_text(_keyed(docs), "key").mapInArrow(tidy(_sketches(width)), "doc_id long, key long, node long, fp long, more long, size long, cells binary"))
     id_ = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     points = rows.groupBy("node").agg(F.min(id_).alias("one"), F.count("*").alias("members"), *(F.first(c).alias(c) for c in ("fp", "more", "size", "cells")))
-    entries = points.select("fp", "more", "node", "cells").mapInArrow(_segment_entries, _ENTRY)
+    entries = points.select("fp", "more", "node", "cells").mapInArrow(tidy(_segment_entries), _ENTRY)
     near = connected_components(_meet(entries, rows.count() * SEEDS * CUTS, 64, CANDIDATE_BITS))
     near = near.union(near.select("root", "root").distinct())
     # A set of candidates is compared in one task if it is small; else dealt in blocks, of which each pair meets.
@@ -359,12 +359,12 @@ def similar_classes(docs: DataFrame, width: int, similar: tuple[int, int], block
     weight = near.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
     texts = may_contain(with_text(_keyed(docs), "key").withColumnRenamed("key", "digest"), near, filter_words(near.count()))
     texts = texts.withColumnRenamed("digest", "d").join(near, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("d") == F.col("digest")))
-    sets = texts.select("node", "root", "blocks", "text").mapInArrow(_sets(width), "node long, root long, blocks int, held binary")
+    sets = texts.select("node", "root", "blocks", "text").mapInArrow(tidy(_sets(width)), "node long, root long, blocks int, held binary")
     mine = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
     sets = sets.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("node", "held", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("part"))
     shards = int(max(32, weight >> 20))
-    edges = sets.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(_compare(similar), "a long, b long")
+    edges = sets.withColumn("shard", F.pmod(F.col("part"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(tidy_group(_compare(similar)), "a long, b long")
     roots = points.select("node", "members").join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return split_hot(rows.select("doc_id", "key", "node"), checkpoint(roots), "node", "members", rows.count()).drop("members")
 

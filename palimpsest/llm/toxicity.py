@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import slices, with_text
+from .common import slices, tidy, with_text
 
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, ATTENTION = 16, 12, 12
@@ -341,7 +341,7 @@ def learn(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Network | f
         yield pa.RecordBatch.from_arrays([pa.array([one], pa.float64()), pa.array([pickle.dumps(net.p)], pa.binary())], names=["one", "model"])
 
     rows = sample(docs, labels, size).filter(r"text rlike '(?U)\\S'").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(f, "one double, model binary").first()
+    got = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(tidy(f), "one double, model binary").first()
     if got is None or got["one"] is not None:
         return got["one"] if got else 0.0
     net = Network()
@@ -371,7 +371,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
         for b in slices(batches, 512):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_scored(model, b.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return with_text(docs).mapInArrow(f, "doc_id long, score double")
+    return with_text(docs).mapInArrow(tidy(f), "doc_id long, score double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -391,4 +391,4 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFr
             keep = _scored(model, [t or "" for t in b.column("text").to_pylist()]) < threshold
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(f, docs.schema)
+    return docs.mapInArrow(tidy(f), docs.schema)

@@ -189,3 +189,51 @@ def test_lines_match_brute_force(spark):
 def test_native_plans_have_no_python(spark, operator):
     plan = operator(table(spark, [(1, "a"), (2, "b")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+MEMORY = """
+import re, sys
+import numpy as np, pyarrow as pa
+from palimpsest.llm import common, packing, repeats
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def many(batches):
+    yield from batches
+    parts = [bytes(900) for _ in range(200_000)]  # small pieces, each too small to be mapped alone
+    pin.append(parts[-1])
+
+pin, before = [], held()
+list(common.tidy(many, "packing")(iter([])))
+print("left", held() - before)
+common.kept("packing")["words"] = {i: b"x" * 1000 for i in range(100_000)}
+common.tidy_group(lambda t: t)(None)
+print("kept", held() - before)
+"""
+
+
+def test_workers_give_memory_back_to_the_system():
+    """In a process of its own, as a Python worker is: what a task had, or kept for its next one, doesn't stay beside another's."""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, timeout=100)
+    left = dict(x.split() for x in out.stdout.splitlines())
+    assert float(left["left"]) < 60 and float(left["kept"]) < 60, out
+
+
+def test_removed_bytes_are_found_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2_000_000))
+    c = repeats.Chunk(pa.table({"doc_id": [1], "text": [text]}))
+    empty = pa.table({n: pa.array([], pa.binary()) for n in ("hashes", "checks", "owners", "early", "valid")})
+    tracemalloc.start()
+    gone = repeats._gone(c, empty)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(gone) == len(c.buf) and not gone.any() and peak < 8 * len(c.buf)
