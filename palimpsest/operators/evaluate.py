@@ -86,11 +86,13 @@ def metrics(golds: DataFrame, preds: DataFrame) -> DataFrame:
     return scores(kind(golds, True).unionByName(kind(preds, False)))
 
 
-def scores(both: DataFrame) -> DataFrame:
-    """``metrics`` of golds and predictions in one table (label, is_gold, hit), which is read once."""
-    gold, hit = F.col("is_gold"), F.col("hit")
-    both = both.select("label", (gold & hit).cast("int").alias("tp"), (~gold & ~hit).cast("int").alias("fp"), (gold & ~hit).cast("int").alias("fn"))
-    out = both.rollup("label").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
+def scores(both: DataFrame, n: Column | None = None) -> DataFrame:
+    """``metrics`` of golds and predictions in one table (label, is_gold, hit), which is read once; ``n`` is how many spans a
+    row stands for. Labels are summed before the rollup, which makes two rows of each that it gets."""
+    gold, hit, n = F.col("is_gold"), F.col("hit"), F.lit(1) if n is None else n
+    both = both.select("label", *[F.when(c, n).otherwise(0).alias(k) for k, c in (("tp", gold & hit), ("fp", ~gold & ~hit), ("fn", gold & ~hit))])
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")]
+    out = both.groupBy("label").agg(*sums).rollup("label").agg(*sums)
     return out.select("label", "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")), (F.col("tp") + F.col("fn")).alias("support"))
 
 
@@ -167,10 +169,39 @@ def strict_match(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame
     return mark(g, p), mark(p, g)
 
 
+#: Spans of a row and label that are matched side by side with those of other rows, at most.
+SIDE_BY_SIDE = 64
+
+
+def _side_by_side(first: np.ndarray, size: np.ndarray, gold: np.ndarray, start: np.ndarray, end: np.ndarray, hits: np.ndarray) -> None:
+    """Marks hits in groups of sorted spans (none ends before it begins), a step in all groups at a time: the next gold and
+    the next prediction are a hit if they overlap, else the one that ends first is done."""
+    own = np.repeat(np.arange(len(first)), size)
+    rows = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(own))
+    is_gold = gold[rows]
+    golds, preds = rows[is_gold], rows[~is_gold]
+    g_size, p_size = (np.bincount(own[k], minlength=len(first)) for k in (is_gold, ~is_gold))
+    g_end, p_end = np.cumsum(g_size), np.cumsum(p_size)
+    g, p = g_end - g_size, p_end - p_size
+    while True:
+        live = np.flatnonzero((g < g_end) & (p < p_end))
+        if not len(live):
+            return
+        if len(live) < len(g):
+            g, p, g_end, p_end = g[live], p[live], g_end[live], p_end[live]
+        i, j = golds[g], preds[p]
+        past = end[i] <= start[j]
+        hit = (start[i] < end[j]) & ~past
+        hits[i[hit]] = hits[j[hit]] = 1
+        g = g + (hit | past)
+        p = p + ~past
+
+
 def _soft(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by row, label, start and end, with ``hit``. A span goes to the first waiting one of the other kind that it
     overlaps, else it waits; one that ends before a later one of the other kind begins waits no more. Each span is looked at
-    once and leaves once, and batches leave when none of their spans waits."""
+    once and leaves once, and batches leave when none of their spans waits. Small groups that lie within a batch are matched
+    side by side."""
     held: dict[int, tuple[pa.RecordBatch, bytearray]] = {}
     waiting = {True: deque(), False: deque()}  # golds and predictions: start, end, batch, place
     group, last = 0, None
@@ -187,6 +218,18 @@ def _soft(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [groups, batch.column("is_gold").to_numpy(zero_copy_only=False), *(pc.fill_null(x, 0).to_numpy(zero_copy_only=False) for x in (starts, ends))]
         hits = bytearray(batch.num_rows)
         held[n] = batch, hits
+        # Not side by side: groups that other batches may have, large ones, and those with a span that ends before it begins.
+        _, gold, start, end = columns
+        of = groups[whole]
+        at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else whole
+        size = np.diff(np.append(at, len(of)))
+        small = (size <= SIDE_BY_SIDE) & (of[at] != group) & (of[at] != groups[-1])
+        if len(at):
+            small &= np.add.reduceat(end[whole] < start[whole], at, dtype=np.int64) == 0
+            k = np.zeros(len(whole), np.uint8)
+            _side_by_side(at[small], size[small], gold[whole], start[whole], end[whole], k)
+            np.frombuffer(hits, np.uint8)[whole] = k
+            whole = whole[~np.repeat(small, size)]
         for i, of, gold, start, end in zip(whole.tolist(), *(c[whole].tolist() for c in columns)):
             if of != group:
                 group = of
@@ -215,13 +258,31 @@ def _with_hits(batch: pa.RecordBatch, hits: bytearray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.frombuffer(hits, dtype=bool))], names=[*batch.schema.names, "hit"])
 
 
+def _soft_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _soft(batches):
+        out = pa.Table.from_batches([batch]).group_by(["label", "is_gold", "hit"]).aggregate([([], "count_all")])
+        yield from out.rename_columns(["label", "is_gold", "hit", "n"]).to_batches()
+
+
 def soft_hits(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """One to one, greedy from left to right, where labels are equal and spans overlap: (row_id, label, start, end, is_gold,
     hit). Labels don't compete, so each one's spans of a row are read once, in order, however many they are."""
+    rows, kinds = _in_order(gold, pred)
+    return rows.mapInArrow(_soft, f"{kinds}, hit boolean")
+
+
+def soft_scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """``scores`` of ``soft_hits``; the spans themselves don't come back from the workers."""
+    rows, _ = _in_order(gold, pred)
+    return scores(rows.mapInArrow(_soft_counts, f"label {rows.schema['label'].dataType.simpleString()}, is_gold boolean, hit boolean, n long"), F.col("n"))
+
+
+def _in_order(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, str]:
+    """Spans of both kinds, dealt by row and label and sorted; their columns' types."""
     cols = ["row_id", "label", "start", "end"]
     both = gold.select(*cols, F.lit(True).alias("is_gold")).unionByName(pred.select(*cols, F.lit(False).alias("is_gold")))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema)
-    return both.repartition("row_id", "label").sortWithinPartitions(*cols).mapInArrow(_soft, f"{kinds}, hit boolean")
+    return both.repartition("row_id", "label").sortWithinPartitions(*cols), kinds
 
 
 def soft_match(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:

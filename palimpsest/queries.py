@@ -281,7 +281,7 @@ def scorer_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("scorer_soft")
 def scorer_soft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.scores(E.soft_hits(_spans(spark, sf_dir, _GOLD), _spans(spark, sf_dir, _PRED)))
+    return E.soft_scores(_spans(spark, sf_dir, _GOLD), _spans(spark, sf_dir, _PRED))
 
 
 @query(

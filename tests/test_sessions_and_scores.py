@@ -131,6 +131,42 @@ def test_soft_matches_of_a_row_with_very_many_spans_take_one_pass():
     assert all(pa.Table.from_batches(E._soft(table.to_batches(max_chunksize=10_000)))["hit"].to_pylist()) and time.time() - began < 30
 
 
+def test_soft_matches_of_many_small_rows_are_found_side_by_side(monkeypatch):
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    rows = sorted((r, rng.choice("AB"), s := rng.randint(0, 20), s + rng.randint(-1 if r % 50 == 0 else 0, 8), rng.random() < 0.5) for r in range(900) for _ in range(rng.randint(1, 12)))
+    table = pa.Table.from_pylist([dict(zip(("row_id", "label", "start", "end", "is_gold"), x)) for x in rows])
+    read = lambda size: [x["hit"] for b in E._soft(table.to_batches(max_chunksize=size)) for x in b.to_pylist()]
+    side_by_side = [read(size) for size in (10_000, 500, 7)]
+    monkeypatch.setattr(E, "SIDE_BY_SIDE", 0)
+    assert all(x == read(10_000) for x in side_by_side) and any(side_by_side[0])
+    monkeypatch.undo()
+    n = 400_000
+    many = pa.table({"row_id": [i // 8 for i in range(n)], "label": ["A"] * n, "start": [i % 8 * 3 for i in range(n)], "end": [i % 8 * 3 + 5 for i in range(n)], "is_gold": [i % 2 == 0 for i in range(n)]}).to_batches(max_chunksize=10_000)
+
+    def seconds():
+        began = time.process_time()
+        out = sum(b.column("hit").true_count for b in E._soft(many))
+        return time.process_time() - began, out
+
+    fast, found = min(seconds() for _ in range(3))
+    monkeypatch.setattr(E, "SIDE_BY_SIDE", 0)
+    slow, same = min(seconds() for _ in range(3))
+    assert found == same == n and fast < 0.6 * slow, (fast, slow)
+
+
+def test_soft_scores_are_those_of_the_hits(spark):
+    rows = [(r, k, s, s + 5) for r in range(40) for k in ("A", None) for s in range(r % 4, 30, 7)]
+    gold = spark.createDataFrame(rows, "row_id long, label string, start int, end int")
+    pred = spark.createDataFrame([(r, k, s + r % 6, e + r % 6) for r, k, s, e in rows if s % 5] + [(1, "B", None, 3)], gold.schema)
+    key = lambda r: tuple(map(str, r))
+    got = sorted(E.soft_scores(gold, pred).collect(), key=key)
+    assert got == sorted(E.metrics(*E.soft_match(gold, pred)).collect(), key=key) and len(got) == 4
+
+
 def test_neighbours_and_offsets(spark):
     rows = spark.createDataFrame([("Москва, ул. Ленина, д. 5", [(0, 6, "ADDRESS"), (12, 18, "ADDRESS"), (23, 24, "ADDRESS"), (23, 24, "OTHER")])], "t string, s array<struct<start:int,end:int,label:string>>")
     assert [tuple(x) for x in rows.select(E.merge_neighbours(F.col("s"), F.col("t")).alias("m")).first().m] == [(0, 24, "ADDRESS"), (23, 24, "OTHER")]
