@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpoint, kept, slices, tidy, with_text
+from .common import checkpoint, give_back, kept, slices, tidy, with_text
 
 LIMIT = 4096
 #: The id after each document.
@@ -169,6 +169,8 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, at_on
                 [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+            if at_once <= AT_ONCE:
+                give_back()
 
     return with_text(docs).mapInArrow(tidy(f, "packing"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
