@@ -24,6 +24,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import checkpoint, give_back, kept, slices, tidy, with_text
@@ -38,9 +39,9 @@ AT_ONCE = 1 << 20
 #: Characters that are one lower-case character each in lower case, and stable in any normal form: Latin letters up to
 #: U+017F but for one that becomes two.
 _SIMPLE = re.compile("[\0-\u012f\u0131-\u017f]*").fullmatch
-#: Lower-case words of letters, and such with marks around (an apostrophe before letters may be a contraction).
-_LETTERS = re.compile("[a-zà-öø-ÿ]+").fullmatch
-_SHAPE = re.compile("([!-&(-/:-@\\[-`{-~]*)([a-zà-öø-ÿ]+)([!-/:-@\\[-`{-~]*)").fullmatch
+#: Of each line: a lower-case word of letters with the marks around it (an apostrophe before letters may be a contraction),
+#: or three empty strings.
+_SHAPES = re.compile("^(?:([!-&(-/:-@\\[-`{-~]*+)([a-zà-öø-ÿ]++)([!-/:-@\\[-`{-~]*+)|.*)$", re.MULTILINE).findall
 
 
 @contextmanager
@@ -101,37 +102,63 @@ class WordEncoder:
             for w, e in zip(some, self.full.encode_batch_fast(some, add_special_tokens=False)):
                 self.words[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _known(self, words: set[str]) -> set[str]:
-        """Of words that the younger generation lacks: those that the older has move over; the rest."""
-        old = words & self.older.keys()
-        for w in old:
-            self.words[w] = self.older[w]
-        return words - old
-
-    def learn(self, words: set[str]) -> None:
-        cores = {w for w in words if _LETTERS(w)}
-        shape = {w: m.groups() for w in words - cores if "<|" not in w and (m := _SHAPE(w))}
-        self._direct([w for w in words - cores if w not in shape])
-        parts = self._known({p for m in shape.values() for p in m} - cores - self.words.keys())
-        self._direct([p for p in parts if not p.isalpha()])
-        letters = [*cores, *filter(str.isalpha, parts)]
-        self.words.update(zip(letters, self._plain(letters) if letters else ()))
-        get = self.words.__getitem__
-        self.words.update({w: get(a) + get(b) + get(c) for w, (a, b, c) in shape.items()})
+    def _held(self, words: list[str]) -> tuple[list[bytes | None], list[str]]:
+        """Ids of distinct words, and the words that neither generation has; those that the older has move over."""
+        ids, older, lacking = [*map(self.words.get, words)], self.older.get, []
+        for i, x in enumerate(ids):
+            if x is None:
+                w = words[i]
+                if (x := older(w)) is None:
+                    lacking.append(w)
+                else:
+                    ids[i] = self.words[w] = x
+        return ids, lacking
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words without white space, distinct ones that neither generation has."""
+        text = "\n".join(words)
+        shapes = _SHAPES(text)
+        if "<|" in text:
+            shapes = [("", "", "") if "<|" in w else x for w, x in zip(words, shapes)]
+        letters, marked, odd = [], [], []
+        for w, x in zip(words, shapes):
+            if len(x[1]) == len(w):
+                letters.append(w)
+            elif x[1]:
+                marked.append((w, x))
+            else:
+                odd.append(w)
+        self._direct(odd)
+        self._direct(self._held([*{m for _, (a, _, z) in marked for m in (a, z)}])[1])
+        cores = {x[1] for _, x in marked}
+        cores.difference_update(letters)
+        letters += self._held([*cores])[1]
+        if letters:
+            self.words.update(zip(letters, self._plain(letters)))
+        get = self.words
+        for w, (a, c, z) in marked:
+            get[w] = get[a] + get[c] + get[z]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        """Each text's ids as little-endian unsigned 32-bit numbers. Words are numbered and their ids put together by Arrow;
+        only distinct ones become objects."""
         if len(self.words) > self.cache:
             self.older, self.words = self.words, {"": b""}
         # A special token's name is read as it is written, so texts with its beginning keep their case (and such words are whole).
         texts = [t.lower() if "<|" not in t and (t.isascii() or _SIMPLE(t)) else t for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self._known(set().union(*split) - self.words.keys())
-        if new:
+        split = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, lacking = self._held(words)
+        if lacking:
             with one_thread():
-                self.learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+                self.learn(lacking)
+            get = self.words.__getitem__
+            ids = [get(w) if x is None else x for w, x in zip(words, ids)]
+        flat = pa.array(ids, pa.large_binary()).take(coded.indices)
+        data = memoryview(flat.buffers()[2] or b"")
+        at = np.frombuffer(flat.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist() if texts else [0]
+        return [bytes(data[a:b]) for a, b in zip(at, at[1:])]
 
 
 def encoder(path: str) -> WordEncoder:

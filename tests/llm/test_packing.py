@@ -32,6 +32,27 @@ def test_ids_are_the_tokenizers():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_only_distinct_words_become_objects():
+    import tracemalloc
+
+    code = packing.WordEncoder(PATH)
+    text = " ".join(f"some{'abcdefghij'[i % 10]} words, (again)" for i in range(100_000))
+    code.encode([text])
+    tracemalloc.start()
+    got = code.encode([text, ""])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(text) + 3 * len(got[0]), peak / len(text)
+    assert np.frombuffer(got[0], "<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids and got[1] == b""
+
+
+def test_ids_are_the_same_whatever_the_cache_holds():
+    texts = [x or "" for _, x in awkward()] + ["(one) two, three; \"four\" one. TWO\nthree! <|endoftext|> Four<| don't a\rb"]
+    want = packing.WordEncoder(PATH).encode(texts)
+    small = packing.WordEncoder(PATH, cache=3)
+    assert [x for _ in range(3) for t in texts for x in small.encode([t])] == 3 * want and small.encode([]) == []
+
+
 def test_pieces_fill_sequences_without_gaps(spark):
     rows = awkward()
     t = Tokenizer.from_file(PATH)
