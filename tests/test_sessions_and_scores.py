@@ -167,6 +167,14 @@ def test_soft_scores_are_those_of_the_hits(spark):
     assert got == sorted(E.metrics(*E.soft_match(gold, pred)).collect(), key=key) and len(got) == 4
 
 
+def test_soft_matches_call_python_for_batches_not_for_each_row(spark):
+    gold = spark.range(40).selectExpr("id as row_id", "'A' as label", "0 as start", "5 as end")
+    for out in (E.soft_match(gold, gold)[0], E.metrics(*E.soft_match(gold, gold))):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "InPandas" not in plan
+    assert E.soft_match(gold, gold)[0].filter("hit").count() == 40
+
+
 def test_neighbours_and_offsets(spark):
     rows = spark.createDataFrame([("Москва, ул. Ленина, д. 5", [(0, 6, "ADDRESS"), (12, 18, "ADDRESS"), (23, 24, "ADDRESS"), (23, 24, "OTHER")])], "t string, s array<struct<start:int,end:int,label:string>>")
     assert [tuple(x) for x in rows.select(E.merge_neighbours(F.col("s"), F.col("t")).alias("m")).first().m] == [(0, 24, "ADDRESS"), (23, 24, "OTHER")]
