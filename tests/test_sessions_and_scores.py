@@ -167,6 +167,32 @@ def test_soft_scores_are_those_of_the_hits(spark):
     assert got == sorted(E.metrics(*E.soft_match(gold, pred)).collect(), key=key) and len(got) == 4
 
 
+def test_soft_scores_of_the_query_are_those_of_first_fit(spark, tmp_path):
+    from collections import Counter
+
+    from palimpsest import queries as Q
+
+    lines = Q.table(spark, "/root/testdata/sf0.001", "lineitem").crossJoin(spark.range(2))
+    shifted = F.col("l_orderkey") + F.col("id") * 10_000_000
+    for name, key in (("shifted", shifted), ("one_row", F.when(F.col("l_orderkey") % 2 == 0, 2).otherwise(shifted))):
+        lines.withColumn("l_orderkey", key.cast("bigint")).drop("id").write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        of = {}  # golds and predictions of a row and label
+        for k, sql in enumerate((Q._GOLD, Q._PRED)):
+            for r in Q._spans(spark, f"{tmp_path}/{name}", sql).collect():
+                of.setdefault((r.row_id, r.label), ([], []))[k].append((r.start, r.end))
+        want = Counter()
+        for (_, label), (golds, preds) in of.items():
+            left, hits = sorted(preds), 0
+            for s, e in sorted(golds):
+                fit = next((j for j, y in enumerate(left) if y[0] < e and s < y[1]), None)
+                hits += fit is not None
+                left = left if fit is None else left[:fit] + left[fit + 1 :]
+            for k in (label, None):
+                want.update({(k, "tp"): hits, (k, "fp"): len(left), (k, "fn"): len(golds) - hits})
+        got = {(r.label, k): r[k] for r in Q.scorer_soft(spark, f"{tmp_path}/{name}").collect() for k in ("tp", "fp", "fn")}
+        assert got == dict(want) and len(got) == 9
+
+
 def test_soft_matches_call_python_for_batches_not_for_each_row(spark):
     gold = spark.range(40).selectExpr("id as row_id", "'A' as label", "0 as start", "5 as end")
     for out in (E.soft_match(gold, gold)[0], E.metrics(*E.soft_match(gold, gold))):
