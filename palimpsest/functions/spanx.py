@@ -148,9 +148,45 @@ def duels(spans: Column, loser: Callable[[Column, Column], Column]) -> Column:
 def best_first(spans: Column) -> Column:
     """Greedy choice by score, then length, then start; a span stays if it overlaps none that
     stayed. Results come in the order of the input."""
+    return plain(greedy(numbered(spans)))
+
+
+def greedy(spans: Column) -> Column:
+    """``best_first`` of spans with ``ord``, which they keep."""
     ranked = F.array_sort(
-        F.transform(numbered(spans), lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["ord"].alias("d"), s.alias("s")))
+        F.transform(spans, lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["ord"].alias("d"), s.alias("s")))
     )
     zero = F.array().cast("array<struct<start:int,end:int,entity_type:string,score:double,branch:string,ord:int>>")
     kept = F.aggregate(ranked, zero, lambda acc, r: F.when(F.exists(acc, lambda k: overlap(k, r["s"])), acc).otherwise(F.array_append(acc, r["s"])))
-    return plain(F.transform(F.array_sort(F.transform(kept, lambda s: F.struct(s["ord"].alias("o"), s.alias("s")))), lambda x: x["s"]))
+    return by_ord(kept)
+
+
+def by_ord(spans: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["ord"].alias("o"), s.alias("s")))), lambda x: x["s"])
+
+
+#: Spans of a row from which those that can't meet are told apart.
+MANY = 16
+
+
+def in_groups(spans: Column, choice: Callable[[Column], Column]) -> Column:
+    """``choice`` of spans with ``ord``, where only spans that overlap decide on one another. Many spans are
+    cut where none overlaps a later one, and each group is chosen from by itself: a row's time grows with
+    its spans, not with their square. Results come in the order of the input."""
+
+    def ends(state: Column, some: Column) -> Column:  # the greatest end so far, before each span
+        zero = F.struct(state["end"].alias("end"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.array_append(a["out"], a["end"]).alias("out"))
+        return F.aggregate(some, zero, step, lambda a: F.struct(a["end"].alias("end"), F.array_append(state["out"], a["out"]).alias("out")))
+
+    def cut(ranked: Column) -> Column:
+        n = F.size(ranked)
+        blocks = F.transform(F.sequence(F.lit(1), n, F.lit(MANY)), lambda i: F.slice(ranked, i, F.lit(MANY)))
+        zero = F.struct(F.lit(-1).alias("end"), F.array().cast("array<array<int>>").alias("out"))
+        return once(F.aggregate(blocks, zero, ends, lambda a: F.flatten(a["out"])), lambda before: chosen(ranked, n, F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(ranked, i)["start"] >= F.get(before, i))))
+
+    def chosen(ranked: Column, n: Column, firsts: Column) -> Column:
+        return once(firsts, lambda at: F.flatten(F.transform(at, lambda i, k: once(by_ord(F.slice(ranked, i + 1, F.coalesce(F.get(at, k + 1), n) - i)), choice))))
+
+    ranked = F.transform(F.array_sort(F.transform(numbered(spans), lambda s: F.struct(s["start"].alias("a"), s["ord"].alias("b"), s.alias("s")))), lambda x: x["s"])
+    return plain(F.when(F.size(spans) > MANY, by_ord(once(ranked, cut))).otherwise(once(numbered(spans), choice)))

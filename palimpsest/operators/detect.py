@@ -337,23 +337,24 @@ def _all_texts(rows: DataFrame, catalog: Catalog, translit: bool) -> DataFrame:
     return rows
 
 
-def detect(docs: DataFrame, catalog: Catalog | None = None, *, model: DataFrame | None = None, translit: bool = True, english: bool = True, base64: bool = True) -> DataFrame:
+def detect(docs: DataFrame, catalog: Catalog | None = None, *, model: DataFrame | None = None, translit: bool = True, english: bool = True, base64: bool = True, budget: bool = True) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text, norm, spans, rejected.
 
     ``model`` has precomputed spans (doc_id, spans) over the normalised text; without it the
     model branch is empty. A text with more base64 than the budget is refused as a whole:
-    ``rejected`` says why, and it has no spans. Null and empty texts have no spans.
+    ``rejected`` says why, and it has no spans. Without ``budget`` every text is read, whatever
+    base64 it has. Null and empty texts have no spans.
     """
     with uncaptured():
-        return _detect(docs, catalog or default_catalog(), model, translit, english, base64)
+        return _detect(docs, catalog or default_catalog(), model, translit, english, base64, budget)
 
 
-def _detect(docs: DataFrame, catalog: Catalog, model: DataFrame | None, translit: bool, english: bool, base64: bool) -> DataFrame:
+def _detect(docs: DataFrame, catalog: Catalog, model: DataFrame | None, translit: bool, english: bool, base64: bool, budget: bool) -> DataFrame:
     rows = normalised(docs, english)
     none, empty = F.array().cast("array<struct<start:int,end:int,decoded:string>>"), F.array().cast(SPANS)
     rows = settle(rows.withColumn("blobs", N.base64_blobs(F.col("norm")) if base64 else none))
     size = F.aggregate(F.col("blobs"), F.lit(0), lambda a, b: a + F.char_length(b["decoded"]))
-    over = (F.size("blobs") > X.BASE64_BLOBS) | (size > X.BASE64_CHARS)
+    over = (F.size("blobs") > X.BASE64_BLOBS) | (size > X.BASE64_CHARS) if budget else F.lit(False)
     rows = settle(rows.withColumn("rejected", F.when(over, F.lit("base64 budget"))))
     rows = rows.withColumn("blobs", F.when(F.col("rejected").isNull(), F.col("blobs")).otherwise(none))
     rows = settle(rows.withColumn("work", F.when(F.col("rejected").isNull(), F.col("norm")).otherwise(F.lit(""))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as X, normalize as N
-from ..functions.spanx import best_first, built, duels, matches, overlap, part, settle
+from ..functions.spanx import built, duels, greedy, in_groups, matches, overlap, part, settle
 
 
 def email_shaped(spans: Column, text: Column) -> Column:
@@ -100,7 +100,7 @@ def resolve(rows: DataFrame, spans: str, text: str, out: str, *, over_phone=tupl
 
 
 def _by_pairs(spans: str, rules: tuple[tuple[str, str], ...]) -> Column:
-    return by_pairs(F.col(spans), tuple(rules))
+    return in_groups(F.col(spans), lambda s: by_pairs(s, tuple(rules)))
 
 
 def _handled(handler, spans: str, text: str) -> Column:
@@ -108,11 +108,11 @@ def _handled(handler, spans: str, text: str) -> Column:
 
 
 def _same_type(spans: str) -> Column:
-    return same_type(F.col(spans))
+    return in_groups(F.col(spans), same_type)
 
 
 def _best_first(spans: str) -> Column:
-    return best_first(F.col(spans))
+    return in_groups(F.col(spans), greedy)
 
 
 def rules_over_model(model: DataFrame, rules: DataFrame) -> DataFrame:

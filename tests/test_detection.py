@@ -55,6 +55,34 @@ def test_too_much_base64_is_refused_as_a_whole(spark):
     assert got[1].rejected and not got[1].spans and not got[2].rejected and len(got[2].spans) == 2
 
 
+def test_documents_beyond_the_base64_budget_are_read_too(spark, tmp_path):
+    import base64
+
+    from palimpsest import queries
+
+    long_blob = base64.b64encode(("паспорт 4509 123456 " + "слово " * 4000).encode()).decode()
+    many = [B64] * 100
+    docs = [(1, "ИНН 7707083893 " + " ".join(many)), (2, f"{long_blob} СНИЛС 112-233-445 95"), (3, B64)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["detect_documents"](spark, str(tmp_path)).collect()
+    assert all(r.value == docs[r.doc_id - 1][1][r.start : r.end] for r in got)
+    of = lambda k: [(r.entity_type, r.value) for r in sorted(got, key=lambda r: r.start) if r.doc_id == k]
+    assert of(1) == [("INN", "7707083893"), *[("PASSPORT", b) for b in many]]
+    assert of(2) == [("PASSPORT", long_blob), ("SNILS", "112-233-445 95")]
+    assert of(3) == [("PASSPORT", B64)]
+
+
+def test_many_spans_are_chosen_from_in_groups_as_they_are_at_once(spark):
+    r = random.Random(5)
+    kinds = ["URL", "DATE_TIME", "IP_ADDRESS", "IP_PORT", "EMAIL_ADDRESS"]
+    some = lambda n: [(a, a + r.randrange(9), r.choice(kinds), r.choice([0.5, 0.6, 0.9]), "rules") for a in (r.randrange(4 * n + 1) for _ in range(n))]
+    rows = spark.createDataFrame([(n, some(n)) for n in (0, 1, 16, 17, 33, 60)], f"k int, s {SPANS}")
+    s = F.col("s")
+    ways = [(resolve._by_pairs("s", resolve.PAIRWISE), resolve.by_pairs(s, resolve.PAIRWISE)), (resolve._same_type("s"), resolve.same_type(s)), (resolve._best_first("s"), best_first(s))]
+    for x in rows.select(*[c for way in ways for c in way]).collect():
+        assert x[0] == x[1] and x[2] == x[3] and x[4] == x[5]
+
+
 def test_a_text_with_base64_is_read_as_it_is_without(spark):
     at_its_end = "дата 12.01.2004-91"  # a pattern asks whether the text ends there
     docs = spark.createDataFrame([(1, at_its_end), (2, f"{B64} {at_its_end}")], "doc_id long, text string")
